@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate
+from tessera.llm import decontaminate, mixing, sharding
 
 
 def queries() -> dict:
-    return {"op8_decontamination": decontaminate.op8_decontamination}
+    return {
+        "op3_mixing": mixing.op3_mixing,
+        "op8_decontamination": decontaminate.op8_decontamination,
+        "op9_sharding": sharding.op9_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
