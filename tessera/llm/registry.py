@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, mixing, sharding
+from tessera.llm import decontaminate, mixing, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op3_mixing": mixing.op3_mixing,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_sharding": sharding.op9_sharding,
     }
