@@ -1,10 +1,20 @@
-"""The corpus pipeline: each stage works on what its predecessor kept."""
+"""The corpus pipeline: each stage works on what its predecessor kept, and all but the last return documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate
+from tessera.llm import decontaminate, mixing, near_join, quality, sharding
+
+
+def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier accepts."""
+    return quality.accepted(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_join.deduplicated(docs)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,8 +22,24 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("benchmark decontamination", stage_decontaminate)]
-#: Stages here have trained scores and random draws, which SQL can't express; tests hold them against brute force.
+def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources by weight: documents repeated, cut or left out as their blocks are drawn."""
+    return mixing.mixed(docs)
+
+
+def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with shard and slot."""
+    return sharding.sharded(docs)
+
+
+STAGES = [
+    ("quality classifier", stage_quality),
+    ("n-gram Jaccard join", stage_near_duplicates),
+    ("benchmark decontamination", stage_decontaminate),
+    ("mixing sources to target weights", stage_mix),
+    ("sharding", stage_shard),
+]
+#: Trained scores and drawn blocks are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._cluster import BROADCAST_ROWS, checkpoint
+from tessera.llm._cluster import BROADCAST_ROWS, checkpoint, small
 
 WINDOW = 10
 SHINGLE = 3
@@ -159,7 +159,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any hit, with their columns. Rows of one doc_id and text stand or fall together."""
-    hits = occurrences(documents, benchmark, window).filter(F.col("start").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    hits = checkpoint(occurrences(documents, benchmark, window).filter(F.col("start").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
+    hits = small(hits, hits.count())
     key = F.xxhash64(F.coalesce(documents["text"], F.lit("")))
     return documents.join(hits, documents["doc_id"].eqNullSafe(hits["_id"]) & (key == hits["_key"]), "left_anti")
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, mixing, quality, sharding, toxicity
+from tessera.llm import decontaminate, mixing, near_join, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_near_join": near_join.op2_near_join,
         "op3_mixing": mixing.op3_mixing,
         "op4_toxicity": toxicity.op4_toxicity,
         "op8_decontamination": decontaminate.op8_decontamination,
