@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, mixing, near_join, quality, sharding, toxicity
+from tessera.llm import decontaminate, mixing, near_join, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op2_near_join": near_join.op2_near_join,
         "op3_mixing": mixing.op3_mixing,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_secrets": secrets.op5_secrets,
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_sharding": sharding.op9_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontaminate.OP8_SQL}
+    return {"op5_secrets": secrets.OP5_SQL, "op8_decontamination": decontaminate.OP8_SQL}
