@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, mixing, near_join, quality, secrets, sharding, toxicity
+from tessera.llm import decontaminate, mixing, near_join, nearest, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_secrets": secrets.op5_secrets,
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_sharding": sharding.op9_sharding,
+        "op10_nearest": nearest.op10_nearest,
     }
 
 
