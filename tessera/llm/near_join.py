@@ -213,3 +213,17 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def op2_near_join(spark, sf_dir: str) -> DataFrame:
     """One row per document: its class, the number of its links and its copies."""
     return joined(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w),
+c AS (SELECT s, min(doc_id) AS rep, count(*) AS n_copies, len(s) AS n FROM g WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT rep, n, unnest(s) AS x FROM c),
+l AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep <> b.rep GROUP BY a.rep, b.rep HAVING count(*) >= 0.8 * (max(a.n) + max(b.n) - count(*))),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a AS rep, least(a, min(b)) AS root FROM r GROUP BY a),
+n AS (SELECT a AS rep, count(*) AS n_links FROM l GROUP BY a)
+SELECT g.doc_id, coalesce(k.root, c.rep, g.doc_id) AS class_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, coalesce(c.rep, g.doc_id) AS copy_id, CAST(coalesce(c.n_copies, 1) AS BIGINT) AS n_copies
+FROM g LEFT JOIN c ON g.s = c.s LEFT JOIN k ON c.rep = k.rep LEFT JOIN n ON c.rep = n.rep
+"""
