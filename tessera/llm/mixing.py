@@ -8,7 +8,7 @@ exact share of the remaining draws, split among the sources by a multivariate hy
 the rest. A leaf's quotas are exact counts per source; the permuted draws of a source are disjoint runs, one for each
 shard, and a hash orders the draws inside a shard.
 
-Only one row per source and one sum per 20,000 documents are handled apart from the documents. More than
+Only one row per source and one sum per 2,000 documents are handled apart from the documents. More than
 `MAX_SOURCES` distinct sources raise an error, as weights belong to sources that are listed.
 
 Defined results: a null or wordless text has size 0 and is never taken; a null source is a source of its own, after
@@ -23,19 +23,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._cluster import checkpoint, small
+from tessera.llm._cluster import checkpoint, sliced, small
 
 WEIGHTS = (5, 2, 1)
 COPIES = 3
 BLOCK_WORDS = 1024
 SHARDS = 16
 SEED = 20
-LINE_ROWS = 20_000
+LINE_ROWS = 2_000
 MAX_SOURCES = 200_000
 _WORD = r"[^\x20\x09-\x0D]+"
 _LARGEST_DRAW = 10**9
@@ -98,7 +98,7 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
-def plan(docs: DataFrame, totals: DataFrame, shards: int = SHARDS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+def plan(totals: DataFrame, shards: int = SHARDS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """One row per source: its target and how it is drawn. totals: source, source_size."""
     rows = totals.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -117,41 +117,54 @@ def plan(docs: DataFrame, totals: DataFrame, shards: int = SHARDS, block: int =
     ends = np.cumsum(np.array(split_tree(drawn, shards, seed), np.int64).reshape(shards, len(lines)), axis=0)
     for i, line in enumerate(lines):
         line += [i, [int(x) for x in ends[:, i]]]
-    kind = docs.schema["source"].dataType.simpleString()
-    schema = f"source {kind}, source_size long, target double, passes long, full long, blocks long, cut long, extra long, step long, begin long, sid int, ends array<long>"
-    return docs.sparkSession.createDataFrame([tuple(x) for x in lines], schema)
+    kind = totals.schema["source"].dataType.simpleString()
+    schema = f"source {kind}, source_size long, target double, _passes long, _full long, _blocks long, _cut long, _extra long, _step long, _begin long, _sid int, _ends array<long>"
+    return totals.sparkSession.createDataFrame([tuple(x) for x in lines], schema)
 
 
-def mixture(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """Per document: doc_id, text_key, size, source_size, target, draws (pass, shard, place, first word, word after the last)."""
-    sized = checkpoint(docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("text_key")))
-    n_rows = sized.count()
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+def _line(docs: DataFrame, keep: list[Column]) -> DataFrame:
+    """Rows with what places them in their source's line."""
+    return docs.select(*keep, F.col("source").alias("_source"), words(F.col("text")).alias("_size"), F.xxhash64("doc_id", "text").alias("_key"), F.col("doc_id").alias("_id"))
+
+
+def _drawn(rows: DataFrame, narrow: DataFrame, shards: int, block: int, seed: int) -> DataFrame:
+    """Adds to the rows of _line() their source_size, target and draws. narrow: the same rows, cheaper to read.
+
+    The rows are shuffled once, by source and bin, and numbered inside their bin; a bin of a source holds about
+    `LINE_ROWS` rows whatever the source's size.
+    """
+    n_rows = narrow.count()
+    totals = checkpoint(narrow.groupBy("_source").agg(F.sum("_size").alias("source_size")))
     # sources are few by the check in plan()
-    by = F.broadcast(plan(docs, totals, shards, block, seed).withColumnRenamed("source", "_source"))
+    by = F.broadcast(plan(totals.select(F.col("_source").alias("source"), "source_size"), shards, block, seed).withColumnRenamed("source", "_name"))
     bins = max(1, -(-n_rows // LINE_ROWS))
-    rows = sized.join(by, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("bin", F.pmod("text_key", F.lit(bins)).cast("int"))
-    sums = rows.groupBy("sid", "bin").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
-    offsets = sums.select("sid", "bin", (F.sum("n").over(W.partitionBy("sid").orderBy("bin")) - F.col("n")).alias("before"))
-    within = F.coalesce(F.sum("size").over(W.partitionBy("sid", "bin").orderBy("text_key", "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # a bin of a source is a row; the sources are at most MAX_SOURCES but their bins may be more than a broadcast takes
-    rows = rows.join(small(offsets, bins * totals.count()), ["sid", "bin"]).withColumn("at", F.col("before") + within)
-    rank = lambda b: F.when(b < F.col("full"), F.pmod(b * F.col("step") + F.col("begin"), F.greatest(F.col("full"), F.lit(1)))).otherwise(F.col("full"))
-    begin = lambda b: F.greatest(b * block - F.col("at"), F.lit(0))
-    end = lambda b: F.least((b + 1) * block - F.col("at"), F.col("size"))
-    last = lambda b, p: F.when(p < F.col("passes"), end(b)).when(rank(b) < F.col("cut"), end(b)).when(rank(b) == F.col("cut"), F.least(end(b), b * block + F.col("extra") - F.col("at"))).otherwise(begin(b))
-    blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).otherwise(F.array().cast("array<long>"))
+    binned = lambda df: df.join(by, F.col("_source").eqNullSafe(F.col("_name"))).withColumn("_bin", F.pmod("_key", F.lit(bins)).cast("int"))
+    sums = binned(narrow).groupBy("_sid", "_bin").agg(F.sum("_size").alias("_n"))
+    offsets = sums.select("_sid", "_bin", (F.sum("_n").over(W.partitionBy("_sid").orderBy("_bin")) - F.col("_n")).alias("_before"))
+    within = F.coalesce(F.sum("_size").over(W.partitionBy("_sid", "_bin").orderBy("_key", "_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = binned(rows).withColumn("_within", within).join(small(offsets, bins * totals.count()), ["_sid", "_bin"]).withColumn("_at", F.col("_before") + F.col("_within"))
+    rank = lambda b: F.when(b < F.col("_full"), F.pmod(b * F.col("_step") + F.col("_begin"), F.greatest(F.col("_full"), F.lit(1)))).otherwise(F.col("_full"))
+    begin = lambda b: F.greatest(b * block - F.col("_at"), F.lit(0))
+    end = lambda b: F.least((b + 1) * block - F.col("_at"), F.col("_size"))
+    last = lambda b, p: F.when((p < F.col("_passes")) | (rank(b) < F.col("_cut")), end(b)).when(rank(b) == F.col("_cut"), F.least(end(b), b * block + F.col("_extra") - F.col("_at"))).otherwise(begin(b))
+    blocks = F.when(F.col("_size") > 0, F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("_size") - 1) / block))).otherwise(F.array().cast("array<long>"))
 
     def drawn(b: Column, p: Column) -> Column:
-        draw = p * F.col("blocks") + rank(b)
+        draw = p * F.col("_blocks") + rank(b)
         return F.struct(
-            p.cast("int").alias("pass"), F.size(F.filter("ends", lambda e: e <= draw)).alias("shard"), F.xxhash64(draw, F.lit(seed), F.col("sid")).alias("place"), begin(b).alias("start"), last(b, p).alias("stop")
+            p.cast("int").alias("pass"), F.size(F.filter("_ends", lambda e: e <= draw)).alias("shard"), F.xxhash64(draw, F.lit(seed), F.col("_sid")).alias("place"), begin(b).alias("start"), last(b, p).alias("stop")
         )
 
-    passes = F.sequence(F.lit(0).cast("long"), F.col("passes"))
+    passes = F.sequence(F.lit(0).cast("long"), F.col("_passes"))
     each = F.flatten(F.transform(passes, lambda p: F.transform(blocks, lambda b: drawn(b, p))))
-    return rows.select("doc_id", "text_key", "size", "source_size", "target", F.filter(each, lambda x: x["stop"] > x["start"]).alias("draws"))
+    return rows.withColumn("_draws", F.filter(each, lambda x: x["stop"] > x["start"]))
+
+
+def mixture(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, draws (pass, shard, place, first word, word after the last)."""
+    rows = checkpoint(_line(docs, []))
+    found = _drawn(rows, rows, shards, block, seed)
+    return found.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", F.col("_draws").alias("draws"))
 
 
 def _taken(draws: Column) -> Column:
@@ -179,38 +192,35 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def mixed(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """The mix as documents: a row for each pass that takes words of a document, its text cut to the words taken.
 
-    Other columns stay as they are, but n_chars, where there is one, follows the text. Rows of one doc_id and text
-    are copies of each other: each takes the draws of one of them.
+    Other columns stay as they are, but n_chars, where there is one, follows the text.
     """
-    found = mixture(docs, shards)
-    spans = found.filter(F.size("draws") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "draws")
-    copies = W.partitionBy("_id", "_key").orderBy("draws")
-    spans = spans.withColumn("_nth", F.row_number().over(copies))
-    names = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    keyed = keyed.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "_key").orderBy(F.lit(0))))
-    rows = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (keyed["_key"] == spans["_key"]) & (keyed["_nth"] == spans["_nth"])).select(*[keyed[n] for n in names], "draws")
-
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    own = [F.col(n).alias(f"c{i}") for i, n in enumerate(docs.columns)]
+    found = _drawn(_line(docs, own), checkpoint(_line(docs, [])), shards, block, seed)
+    spans = F.transform("_draws", lambda d: F.struct(d["pass"], d["start"], d["stop"]))
+    rows = found.filter(F.size("_draws") > 0).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)], spans.alias("_spans"))
+    text_at = docs.columns.index("text")
+    chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
             texts, at = [], []
-            for i, (text, draws) in enumerate(zip(batch["text"], batch["draws"], strict=True)):
+            for i, (text, draws) in enumerate(zip(batch.column(text_at), batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
                 by_pass: dict[int, list[tuple[int, int]]] = {}
                 for d in draws:
                     by_pass.setdefault(d["pass"], []).append((d["start"], d["stop"]))
                 for p in sorted(by_pass):
-                    texts.append(cut_text(text, _joined(by_pass[p])))
+                    texts.append(cut_text(text.as_py(), _joined(by_pass[p])))
                     at.append(i)
-            out = batch.drop(columns="draws").iloc[at].copy()
-            out["text"] = texts
-            if "n_chars" in out:
-                out["n_chars"] = [len(t) for t in texts]
-            yield out
+            columns = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(batch.num_columns - 1)]
+            columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
+            if chars_at is not None:
+                columns[chars_at] = pa.array([len(t) for t in texts], batch.schema.field(chars_at).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return rows.mapInPandas(parts, docs.schema)
+    return rows.mapInArrow(parts, docs.schema)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

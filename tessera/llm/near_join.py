@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._cluster import checkpoint, small
+from tessera.llm._cluster import checkpoint, sliced, small
 from tessera.llm._words import U, mix, shingles, words
 from tessera.llm.components import components
 
@@ -82,7 +82,7 @@ def signatures(docs: DataFrame, width: int = WIDTH, trees: int = TREES) -> DataF
     """Per row: doc_id, text_key, n (shingles), h1 and h2 (the set), labels (one of each tree; null without shingles)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             total = batch.num_rows
             n, h1, h2 = (np.zeros(total, np.int64) for _ in range(3))
             labels: list = [None] * total
@@ -178,7 +178,7 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, tr
     blocked = members.join(parts, "root").select("rep", "root", "blocks", F.pmod(F.xxhash64("rep"), "blocks").alias("block"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = [s.tobytes() for sets, _ in _sets(batch.column("text"), width) for s in sets]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("rep", "root", "blocks", "block")), pa.array(out, pa.binary())], ["rep", "root", "blocks", "block", "shingles"])
 

@@ -25,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._cluster import sliced
 from tessera.llm._labelled import SAMPLE_ROWS, fold, logistic, sampled, sigmoid
 
 BLOCK = 2048
@@ -139,7 +140,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(model.dictionaries) if model.dictionaries else None
-        for batch in batches:
+        for batch in sliced(batches):
             if sizes is None:
                 good = np.full(batch.num_rows, model.share >= threshold)
             else:
