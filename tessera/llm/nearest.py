@@ -5,7 +5,7 @@ along the graph's slowest mode of smoothing and then improved by exchanging vert
 layer learns in which parts a vector's neighbours, itself among them, are found. It puts every indexed row into its most probable part and sends every
 query to the most probable parts, until their probability reaches a level; the level is the least at which queries
 kept out of the fit find `TARGET` of their neighbours in the sample. Candidates of those parts are ranked by the exact
-inner product in double precision.
+inner product in double precision; what a query's last nearest row in the sample scores is a floor that spares rows.
 
 A part's rows and queries are dealt into blocks of bounded size, and each block of rows meets each block of the
 queries sent to its part, so a vector that a third of all rows share fills blocks, not a task.
@@ -182,6 +182,12 @@ def fit(x: np.ndarray, queries: np.ndarray, parts: int, target: float = TARGET,
     return router
 
 
+def _once(sample: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One vector of each id, so that a floor counts no row twice."""
+    kept = np.unique(ids, return_index=True)[1]
+    return sample[kept], ids[kept]
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64, copy=False)
@@ -199,49 +205,77 @@ def indexed(rows: DataFrame, router: Router) -> DataFrame:
     return rows.mapInArrow(place, "vec_id long, embedding array<double>, part int")
 
 
-def routed(queries: DataFrame, router: Router, sizes: np.ndarray, nearest: int = NEAREST) -> DataFrame:
-    """A row for each part that a query is sent to; parts follow until they also hold enough rows."""
+def floors(queries: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, nearest: int) -> np.ndarray:
+    """What each query's last nearest row scores at least: the sample's rows are candidates too."""
+    out = np.full(len(queries), -np.inf)
+    if len(sample) > nearest:
+        for i in range(0, len(queries), 256):
+            score = queries[i : i + 256] @ sample.T
+            score[ids[i : i + 256, None] == sample_ids[None, :]] = -np.inf
+            out[i : i + 256] = np.partition(score, len(sample) - nearest, axis=1)[:, len(sample) - nearest]
+    return out
+
+
+def in_sample(queries: DataFrame, sample: np.ndarray, sample_ids: np.ndarray, nearest: int = NEAREST) -> DataFrame:
+    """query_id, vec_id, score of the nearest rows of the sample, so that what a floor spares leaves no query short."""
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = _best(_matrix(batch.column("embedding")), batch.column("vec_id").to_numpy(), np.full(batch.num_rows, -np.inf), sample, sample_ids, nearest)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
+
+    return queries.mapInArrow(rank, "query_id long, vec_id long, score double")
+
+
+def routed(queries: DataFrame, router: Router, sizes: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, nearest: int = NEAREST) -> DataFrame:
+    """A row for each part that a query is sent to, with its floor; parts follow until they also hold enough rows."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = router.probabilities(_matrix(batch.column("embedding")))
+            x = _matrix(batch.column("embedding"))
+            low = floors(x, batch.column("vec_id").to_numpy(), sample, sample_ids, nearest)
+            p = router.probabilities(x)
             order = np.argsort(-p, axis=1, kind="stable")
             sorted_ = np.take_along_axis(p, order, axis=1)
             held = sizes[order]
             go = (np.cumsum(sorted_, axis=1) - sorted_ < router.level) | (np.cumsum(held, axis=1) - held <= nearest)
             row, at = np.nonzero(go & (held > 0))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), batch.column("embedding").take(pa.array(row)), pa.array(order[row, at].astype(np.int32))], ["vec_id", "embedding", "part"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), batch.column("embedding").take(pa.array(row)), pa.array(order[row, at].astype(np.int32)), pa.array(low[row])], ["vec_id", "embedding", "part", "floor"])
 
-    return queries.mapInArrow(send, "vec_id long, embedding array<double>, part int")
+    return queries.mapInArrow(send, "vec_id long, embedding array<double>, part int, floor double")
+
+
+def _best(q: np.ndarray, qid: np.ndarray, low: np.ndarray, c: np.ndarray, cid: np.ndarray, nearest: int) -> list[np.ndarray]:
+    """Query ids, row ids and scores of the nearest rows that reach each query's floor, ties to the smaller id."""
+    found: list[list[np.ndarray]] = [[], [], []]
+    for i in range(0, len(q) if len(c) else 0, 256):
+        score = q[i : i + 256] @ c.T
+        score[qid[i : i + 256, None] == cid[None, :]] = -np.inf
+        k = min(nearest, len(c))
+        least = np.maximum(low[i : i + 256], np.partition(score, len(c) - k, axis=1)[:, len(c) - k])
+        # rounding differs by place in a block: near ties come along and are scored anew, each in the same way
+        row, col = np.nonzero((score >= (least - 1e-9 * np.maximum(1, np.abs(least)))[:, None]) & (score > -np.inf))
+        exact = np.einsum("ij,ij->i", q[i + row], c[col])
+        order = np.lexsort((cid[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
+        rank = np.arange(len(row)) - np.repeat(first, np.diff(np.concatenate((first, [len(row)]))))
+        keep = rank < nearest
+        for out, values in zip(found, (qid[i + row[keep]], cid[col[keep]], exact[keep]), strict=True):
+            out.append(values)
+    return [np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(found, (np.int64, np.int64, np.float64), strict=True)]
 
 
 def _ranked(table: pa.Table, nearest: int) -> pa.Table:
-    """The nearest rows of a block for each query of a block, ties to the smaller id."""
+    """The nearest rows of a block for each query of a block."""
     asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
     ids = table.column("vec_id").to_numpy()
     x = _matrix(table.column("embedding").combine_chunks())
-    q, c, qid, cid = x[asks], x[~asks], ids[asks], ids[~asks]
-    found: list[list[np.ndarray]] = [[], [], []]
-    if len(q) and len(c):
-        for i in range(0, len(q), 256):
-            score = q[i : i + 256] @ c.T
-            score[qid[i : i + 256, None] == cid[None, :]] = -np.inf
-            k = min(nearest, len(c))
-            least = np.partition(score, len(c) - k, axis=1)[:, len(c) - k]
-            # rounding differs by place in a block: near ties come along and are scored anew, each in the same way
-            row, col = np.nonzero((score >= (least - 1e-9 * np.maximum(1, np.abs(least)))[:, None]) & (score > -np.inf))
-            exact = np.einsum("ij,ij->i", q[i + row], c[col])
-            order = np.lexsort((cid[col], -exact, row))
-            row, col, exact = row[order], col[order], exact[order]
-            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
-            rank = np.arange(len(row)) - np.repeat(first, np.diff(np.concatenate((first, [len(row)]))))
-            keep = rank < nearest
-            for out, values in zip(found, (qid[i + row[keep]], cid[col[keep]], exact[keep]), strict=True):
-                out.append(values)
-    columns = [np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(found, (np.int64, np.int64, np.float64), strict=True)]
-    return pa.table(columns, names=["query_id", "vec_id", "score"])
+    low = table.column("floor").to_numpy(zero_copy_only=False)[asks]
+    return pa.table(_best(x[asks], ids[asks], low, x[~asks], ids[~asks], nearest), names=["query_id", "vec_id", "score"])
 
 
 def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, parts: int | None = None) -> DataFrame:
@@ -251,14 +285,15 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, parts:
     if parts is None:
         parts = 2 ** int(np.clip(np.round(np.log2(max(1, total) / ROWS_PER_PART)), 2, np.log2(MOST_PARTS)))
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS + SAMPLE_QUERIES).collect()
-    sample = np.array([r[1] for r in chosen], np.float64).reshape(len(chosen), -1)
+    sample, sample_ids = np.array([r[1] for r in chosen], np.float64).reshape(len(chosen), -1), np.array([r[0] for r in chosen], np.int64)
     apart = min(SAMPLE_QUERIES, len(sample) // 5)
     router = fit(sample[apart:], sample[:apart], parts, nearest=nearest)
     placed = checkpoint(indexed(rows, router))
     sizes = np.zeros(parts, np.int64)
     for part, n in placed.groupBy("part").count().collect():  # at most `parts` rows
         sizes[part] = n
-    asked = checkpoint(routed(rows.filter(is_query), router, sizes, nearest))
+    known = _once(sample, sample_ids)
+    asked = checkpoint(routed(rows.filter(is_query), router, sizes, *known, nearest))
     asking = np.zeros(parts, np.int64)
     for part, n in asked.groupBy("part").count().collect():
         asking[part] = n
@@ -267,11 +302,11 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, parts:
     rb, qb = F.get(F.array(*map(F.lit, row_blocks)), F.col("part")), F.get(F.array(*map(F.lit, query_blocks)), F.col("part"))
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.greatest(n, F.lit(1))).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    held = placed.filter(qb > 0).select("part", own(rb).alias("row_block"), each(qb).alias("query_block"), F.lit(False).alias("asks"), "vec_id", "embedding")
-    asks = asked.select("part", each(rb).alias("row_block"), own(qb).alias("query_block"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    held = placed.filter(qb > 0).select("part", own(rb).alias("row_block"), each(qb).alias("query_block"), F.lit(False).alias("asks"), "vec_id", "embedding", F.lit(0.0).alias("floor"))
+    asks = asked.select("part", each(rb).alias("row_block"), own(qb).alias("query_block"), F.lit(True).alias("asks"), "vec_id", "embedding", "floor")
     tasks = held.unionByName(asks).groupBy("part", "row_block", "query_block")
     found = tasks.applyInArrow(lambda t: _ranked(t, nearest), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = found.unionByName(in_sample(rows.filter(is_query), *known, nearest)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
