@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tessera.plans import format_plans, sizing_plans, store_plans
+
+_ALL = store_plans.QUERIES | sizing_plans.QUERIES | format_plans.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql is not None}
