@@ -93,7 +93,7 @@ def chunk_bytes(data: bytes, config: Config, key: bytes | None = None) -> list[t
 
 
 def _spans(ends: list[int]) -> list[tuple[int, int]]:
-    return list(zip([0, *ends[:-1]], ends, strict=True))
+    return list(zip([0, *ends], ends, strict=False))
 
 
 def _id(data: bytes, key: bytes | None) -> str:
