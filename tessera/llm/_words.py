@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are worked on together; one longer text is taken alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _STEP, _BACK = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 

@@ -25,7 +25,7 @@ SHARDS = 8
 #: Ranges of the hash that one range is opened into: two to the power of this.
 BITS = 12
 #: Rows that get their slots in one task.
-SLOT_ROWS = 20_000
+SLOT_ROWS = 2_000
 
 
 def order_key(text: Column) -> Column:
