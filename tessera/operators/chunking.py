@@ -124,19 +124,28 @@ def chunked(files: DataFrame, targets: list[int], key: bytes | None = None, with
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, schema)
 
 
-def word_chunks(texts: DataFrame, rate: int) -> DataFrame:
-    """Chunks of texts cut after a word when a hash of it and the word before falls in one of `rate` classes.
+def threshold(rate: int) -> str:
+    """The hex digits that one hash in `rate` is below."""
+    return f"{(1 << 32) // rate:08x}"
 
-    texts: path, text. Returns path, seq, chunk_id, len (bytes, with single spaces between words). Plain SQL: a text's
-    words are cut into chunks inside its own row, so only chunks leave it.
+
+def word_chunks(texts: DataFrame, *rates: int) -> DataFrame:
+    """Chunks of texts cut after a word when the hash of it and the word before is below a rate's threshold.
+
+    texts: path, text. Returns target_size (the rate), path, seq, chunk_id, len (bytes, with the single spaces between
+    words). Plain SQL: words are hashed once for all rates, and cut inside their own row, so only chunks leave it.
     """
     words = texts.select("path", F.split("text", " ").alias("w"))
-    cut = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.conv(F.substring(F.md5(F.concat_ws(" ", F.get("w", i - 1), F.get("w", i))), 1, 6), 16, 10).cast("long") % rate == 0)
-    ends = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("cut", i) | (i == F.size("w")))
-    rows = words.withColumn("cut", cut).select("path", "w", F.posexplode(ends).alias("seq", "stop"), ends.alias("ends"))
+    hashed = F.transform("w", lambda x, i: F.struct((i + 1).alias("i"), F.md5(F.concat_ws(" ", F.get("w", i - 1), x)).alias("h")))
+    places = F.filter(hashed, lambda x: (x["h"] < threshold(min(rates))) | (x["i"] == F.size("w")))
+    by_rate = words.select("path", "w", places.alias("places")).select("path", "w", "places", F.explode(F.array(*[F.struct(F.lit(r).cast("long").alias("rate"), F.lit(threshold(r)).alias("below")) for r in rates])).alias("r"))
+    ends = F.transform(F.filter("places", lambda x: (x["h"] < F.col("r.below")) | (x["i"] == F.size("w"))), lambda x: x["i"])
+    # each explode holds its array computed once below it
+    rows = by_rate.select("path", "w", "r.rate", ends.alias("ends")).select("path", "w", "rate", "ends", F.posexplode("ends").alias("seq", "stop"))
     start = F.coalesce(F.get("ends", F.col("seq") - 1), F.lit(0))
     body = F.array_join(F.slice("w", start + 1, F.col("stop") - start), " ")
-    return rows.select("path", "seq", body.alias("body")).select("path", F.col("seq").cast("long").alias("seq"), F.md5("body").alias("chunk_id"), F.octet_length("body").cast("long").alias("len"))
+    rows = rows.select(F.col("rate").alias("target_size"), "path", "seq", body.alias("body"))
+    return rows.select("target_size", "path", F.col("seq").cast("long").alias("seq"), F.md5("body").alias("chunk_id"), F.octet_length("body").cast("long").alias("len"))
 
 
 def numbered(chunks: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +20,16 @@ def _chunk_sql(name: str, source: str, rate: int) -> str:
 SELECT path, k, array_to_string(w[coalesce(ends[k - 1], 0) + 1:ends[k]], ' ') AS body FROM (
 SELECT path, w, ends, unnest(range(1, len(ends) + 1)) AS k FROM (
 SELECT path, w, list_filter(range(1, len(w) + 1), lambda i: i = len(w) OR cut[i]) AS ends FROM (
-SELECT path, w, list_transform(w, lambda x, i: CAST('0x' || substr(md5(CASE WHEN i = 1 THEN x ELSE w[i - 1] || ' ' || x END), 1, 6) AS INTEGER) % {rate} = 0) AS cut FROM (SELECT path, string_split(text, ' ') AS w FROM {source}))))))"""
+SELECT path, w, list_transform(w, lambda x, i: md5(CASE WHEN i = 1 THEN x ELSE w[i - 1] || ' ' || x END) < '{chunking.threshold(rate)}') AS cut FROM (SELECT path, string_split(text, ' ') AS w FROM {source}))))))"""
 
 
 def _sized(tree: DataFrame) -> DataFrame:
     """One set of chunks for each rate."""
-    return reduce(DataFrame.unionByName, [chunking.word_chunks(tree, r).withColumn("target_size", F.lit(r).cast("long")) for r in RATES])
+    return chunking.word_chunks(tree, *RATES)
+
+
+def _chunks(tree: DataFrame, rate: int) -> DataFrame:
+    return chunking.word_chunks(tree, rate).drop("target_size")
 
 
 def _files(tree: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def _files(tree: DataFrame) -> DataFrame:
 
 
 def chunk_words(s, d):
-    return chunking.word_chunks(V.files(s, d).select("path", "text"), 16)
+    return _chunks(V.files(s, d).select("path", "text"), 16)
 
 
 def sizing_report(s, d):
@@ -61,46 +63,46 @@ def manifest_bytes(s, d):
 
 
 def baseline_overlap(s, d):
-    both = [chunking.word_chunks(V.tree(s, d, side), 16) for side in ("current", "baseline")]
+    both = [_chunks(V.tree(s, d, side), 16) for side in ("current", "baseline")]
     return dedup.overlap(*both).withColumn("overlap_pct", F.round("overlap_pct", 6))
 
 
 def baseline_delta(s, d):
-    both = [chunking.word_chunks(V.tree(s, d, side), 16) for side in ("current", "baseline")]
+    both = [_chunks(V.tree(s, d, side), 16) for side in ("current", "baseline")]
     return dedup.delta(*both)
 
 
 def shared_ids(s, d):
     """Ids in both trees, by set intersection."""
-    both = [chunking.word_chunks(V.tree(s, d, side), 16).select("chunk_id") for side in ("current", "baseline")]
+    both = [_chunks(V.tree(s, d, side), 16).select("chunk_id") for side in ("current", "baseline")]
     return both[0].intersect(both[1])
 
 
 def unique_ids(s, d):
-    return dedup.unique(chunking.word_chunks(V.tree(s, d, "current"), 16)).select("chunk_id")
+    return dedup.unique(_chunks(V.tree(s, d, "current"), 16)).select("chunk_id")
 
 
 def first_occurrence(s, d):
-    return dedup.first_occurrence(chunking.word_chunks(V.tree(s, d, "current"), 16))
+    return dedup.first_occurrence(_chunks(V.tree(s, d, "current"), 16))
 
 
 def backup_ledger(s, d):
     now, was = V.tree(s, d, "current"), V.tree(s, d, "baseline")
-    return dedup.ledger(_files(now), chunking.word_chunks(now, 16), dedup.unique(chunking.word_chunks(was, 16)))
+    return dedup.ledger(_files(now), _chunks(now, 16), dedup.unique(_chunks(was, 16)))
 
 
 def ship_partition(s, d):
     now, was = V.tree(s, d, "current"), V.tree(s, d, "baseline")
-    return dedup.shipped(chunking.word_chunks(now, 16), dedup.unique(chunking.word_chunks(was, 16))).groupBy("ship").agg(F.count("*").alias("chunks"), F.sum("len").cast("long").alias("bytes"))
+    return dedup.shipped(_chunks(now, 16), dedup.unique(_chunks(was, 16))).groupBy("ship").agg(F.count("*").alias("chunks"), F.sum("len").cast("long").alias("bytes"))
 
 
 def chunk_offsets(s, d):
-    return dedup.with_offsets(chunking.word_chunks(V.tree(s, d, "current"), 16)).select("path", "seq", "offset", "len")
+    return dedup.with_offsets(_chunks(V.tree(s, d, "current"), 16)).select("path", "seq", "offset", "len")
 
 
 def file_sizes(s, d):
     """Each file's bytes as the sum of its chunks."""
-    return chunking.word_chunks(V.tree(s, d, "current"), 16).groupBy("path").agg(F.sum("len").cast("long").alias("file_bytes"), F.count("*").alias("chunks"))
+    return _chunks(V.tree(s, d, "current"), 16).groupBy("path").agg(F.sum("len").cast("long").alias("file_bytes"), F.count("*").alias("chunks"))
 
 
 def scan_totals(s, d):

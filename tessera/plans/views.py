@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows anew where a table has too few parts to keep the cores busy, as one small file has; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def _ms(column: str):
     return F.unix_millis(F.col(column).cast("timestamp"))
 
@@ -42,7 +48,7 @@ def events(spark, d) -> DataFrame:
 def files(spark, d) -> DataFrame:
     """Documents, pages and conversations as files."""
     ext = F.get(F.array(*map(F.lit, ["txt", "docx", "PDF", "png", "sqlite", "bin"])), (F.col("doc_id") % 6).cast("int"))
-    docs = table(spark, d, "documents").select(F.concat_ws("/", "lang", "source", F.concat_ws(".", F.col("doc_id").cast("string"), ext)).alias("path"), "text")
+    docs = spread(table(spark, d, "documents")).select(F.concat_ws("/", "lang", "source", F.concat_ws(".", F.col("doc_id").cast("string"), ext)).alias("path"), "text")
     pages = table(spark, d, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
     talks = table(spark, d, "conversations").select(F.concat(F.lit("talks/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("path"), "text")
     return docs.unionByName(pages).unionByName(talks).select("path", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
@@ -50,7 +56,7 @@ def files(spark, d) -> DataFrame:
 
 def tree(spark, d, side: str) -> DataFrame:
     """Two versions of the documents: the current one lacks a tenth and alters a tenth of the baseline's."""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     if side == "current":
         docs = docs.filter("doc_id % 10 <> 0").withColumn("text", F.when(F.col("doc_id") % 10 == 1, F.concat(F.col("text"), F.lit(" "), F.col("doc_id").cast("string"))).otherwise(F.col("text")))
     else:
