@@ -19,6 +19,7 @@ table gives no rows; other columns are ignored. Sets count as equal if two indep
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,8 +166,10 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, tr
     held = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = checkpoint(held.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min("n").alias("n"), F.first("labels").alias("labels")))
     # one id with several texts ties their classes
-    shared = held.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).filter("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count_distinct("h1", "h2").alias("sets"))
-    again = shared.filter("sets > 1 AND a <> b").select("a", "b")
+    several = held.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("doc_id")
+    shared = held.join(several, "doc_id").select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"])
+    least = shared.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    again = checkpoint(shared.join(least, "doc_id").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct())
     drop = _BITS * (MAX_DEPTH - forest_depth(threshold, trees, recall))
     nodes = classes.select("rep", F.posexplode("labels").alias("tree", "label")).select("rep", F.xxhash64("tree", F.shiftright("label", drop)).alias("node"))
     full = nodes.groupBy("node").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first < last")
@@ -199,15 +202,16 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, tr
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one of least id (of its rows one), with all columns; wordless ones and those without id stay."""
     found = checkpoint(joined(docs, threshold))
-    dropped = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(small(dropped, found.count()), docs["doc_id"] == F.col("_id"), "left_anti")
+    names = docs.columns
+    own, nth = (f"_{k}_{uuid.uuid4().hex}" for k in ("id", "nth"))  # like no column of the documents
+    dropped = found.filter("doc_id <> class_id").select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(small(dropped, found.count()), docs["doc_id"] == F.col(own), "left_anti")
     again = found.filter("doc_id = class_id AND n_copies > 1").groupBy("doc_id").count().filter("count > 1")
     if again.isEmpty():
         return kept
-    ids = again.select(F.col("doc_id").alias("_id"))
-    names = kept.columns
-    nth = kept.join(ids, kept["doc_id"] == F.col("_id"), "left").withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return nth.filter("_id IS NULL OR _nth = 1").select(*names)
+    marked = kept.join(again.select(F.col("doc_id").alias(own)), kept["doc_id"] == F.col(own), "left")
+    numbered = marked.withColumn(nth, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
+    return numbered.filter(F.col(own).isNull() | (F.col(nth) == 1)).select(*names)
 
 
 def op2_near_join(spark, sf_dir: str) -> DataFrame:

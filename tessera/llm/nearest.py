@@ -285,7 +285,8 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, parts:
     if parts is None:
         parts = 2 ** int(np.clip(np.round(np.log2(max(1, total) / ROWS_PER_PART)), 2, np.log2(MOST_PARTS)))
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS + SAMPLE_QUERIES).collect()
-    sample, sample_ids = np.array([r[1] for r in chosen], np.float64).reshape(len(chosen), -1), np.array([r[0] for r in chosen], np.int64)
+    sample = np.array([r[1] for r in chosen], np.float64).reshape(len(chosen), len(chosen[0][1]) if chosen else 1)
+    sample_ids = np.array([r[0] for r in chosen], np.int64)
     apart = min(SAMPLE_QUERIES, len(sample) // 5)
     router = fit(sample[apart:], sample[:apart], parts, nearest=nearest)
     placed = checkpoint(indexed(rows, router))

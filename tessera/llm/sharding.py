@@ -109,7 +109,7 @@ def cuts(groups: DataFrame, shards: int = SHARDS) -> tuple[list[int], int]:
         near = int(np.searchsorted(total, goal, "left"))
         if near > at and goal - total[near - 1] < total[min(near, n)] - goal:
             near -= 1
-        at = min(most, max(near, earliest[left - 1], at))
+        at = min(most, max(near, earliest[left - 1], min(at + 1, n)))  # a group that is too large for its goal still fills one
         found.append(int(held.low[at]) if at < n else None)
     return [k for k in found if k is not None], capacity
 
