@@ -156,7 +156,7 @@ def _linked(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             break
         root = new
     some = links > 0
-    return pd.DataFrame({"rep": reps[some], "links": links[some].astype(np.int64), "root": root[some]})
+    return pd.DataFrame({"rep": reps[some], "links": links[some].astype(np.int64), "root": root[some], "split": bool(pdf["split"].iloc[0])})
 
 
 def joined(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES, recall: float = RECALL) -> DataFrame:
@@ -188,10 +188,16 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, tr
     chosen = docs.select("doc_id", "text").join(small(blocked, members.count()), F.col("doc_id") == F.col("rep")).select("rep", "root", "blocks", "block", "text")
     sets = chosen.mapInArrow(take, "rep long, root long, blocks long, block long, shingles binary").filter(F.length("shingles") > 0)
     tasks = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tasks = tasks.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "block", "shingles")
-    links = checkpoint(tasks.groupBy("root", "low", "high").applyInPandas(lambda pdf: _linked(pdf, threshold), "rep long, links long, root long"))
+    tasks = tasks.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "block", (F.col("blocks") > 1).alias("split"), "shingles")
+    links = checkpoint(tasks.groupBy("root", "low", "high").applyInPandas(lambda pdf: _linked(pdf, threshold), "rep long, links long, root long, split boolean"))
     counts = links.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    groups = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(again)).select(F.col("node").alias("rep"), "root")
+    # what one task saw whole is final; forests of several tasks, or tied by an id, are joined
+    tied = not again.isEmpty()
+    whole, open_ = links.filter(~F.col("split") & F.lit(not tied)), links.filter(F.col("split") | F.lit(tied))
+    groups = whole.select("rep", "root")
+    if not open_.isEmpty() or tied:
+        edges = open_.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(again)
+        groups = groups.unionByName(components(edges).select(F.col("node").alias("rep"), "root"))
     found = classes.select("h1", "h2", "rep", "n_copies").join(counts, "rep", "left").join(groups, "rep", "left")
     found = found.select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("rep").alias("copy_id"), "n_copies")
     rows = held.select("doc_id", "text_key", "h1", "h2").join(found, ["h1", "h2"]).select("doc_id", "class_id", "n_links", "copy_id", "n_copies", "text_key")
