@@ -31,6 +31,8 @@ PREFIXES = (4, 5)
 PENALTY = 4.0
 RIDGE = 1e-4
 SHRINK = 10.0
+#: Features whose log-odds ratio is nearer to nothing than this are left out of the fit.
+LEAST = 0.2
 STEPS = 200
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
@@ -97,10 +99,15 @@ class _Rows:
     def __init__(self, rows: list[np.ndarray], values: list[np.ndarray] | None = None):
         sizes = np.array([len(r) for r in rows], np.int64)
         self.n = len(rows)
-        self.owner = np.repeat(np.arange(self.n), sizes)
-        self.at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        self.at = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
         self.values = np.concatenate(values) if values else None
 
+    def keep(self, wanted: np.ndarray) -> None:
+        """Only entries of wanted columns stay."""
+        some = wanted[self.at]
+        self.owner, self.at = self.owner[some], self.at[some]
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         x = w[self.at] if self.values is None else w[self.at] * self.values
         return np.bincount(self.owner, x, self.n)
@@ -129,7 +136,8 @@ def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, penalty: fl
     seen = x.back(np.ones(len(y)))
     ratio = np.log((ones + SHRINK * share) / (SHRINK * share)) - np.log((seen - ones + SHRINK * (1 - share)) / (SHRINK * (1 - share)))
     ratio -= np.log((len(y) * share + SHRINK * share) / (SHRINK * share)) - np.log((len(y) * (1 - share) + SHRINK * (1 - share)) / (SHRINK * (1 - share)))
-    ratio[seen == 0] = 0.0
+    ratio[(seen == 0) | (np.abs(ratio) < LEAST)] = 0.0
+    x.keep(ratio != 0)
     g = weight / weight.sum()
 
     def curved(v: np.ndarray) -> np.ndarray:
@@ -164,12 +172,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD
         for batch in batches:
             out = []
             for bucket, bounds, _ in features(batch.column("text")):
-                out += [bucket[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "label", "buckets"])
+                small = bucket.astype(np.int32)
+                out += [small[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "buckets"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sorted(texts.mapInArrow(held_words, f"doc_id {kind}, label int, buckets array<long>").toLocalIterator(), key=lambda r: str(r[0]))
-    found, y = [np.array(r[2], np.int64) for r in got], np.array([r[1] for r in got], float)
+    got = sorted(texts.mapInArrow(held_words, f"doc_id {kind}, label int, buckets binary").collect(), key=lambda r: str(r[0]))
+    found, y = [np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got], float)
+    del got
     if not 0 < y.sum() < len(y):
         return Model(None, 0.0, (1.0, 0.0), share)
     weight = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y)
