@@ -103,7 +103,7 @@ def policy_dimension(s, d):
 def _choices(s, d):
     """Codec choices with given lengths, in which SQL can follow: raw_len, stored_len by a rule."""
     rows = V.files(s, d).select("path", F.md5("text").alias("chunk_id"), F.col("size").alias("raw_len"))
-    packed = F.floor(F.col("raw_len") * (F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(120))) / 100).cast("long")
+    packed = F.floor(F.col("raw_len") * (F.conv(F.substring("chunk_id", 1, 6), 16, 10).cast("long") % 120) / 100).cast("long")
     rows = rows.withColumn("packed", packed).withColumn("codec", F.when((F.col("raw_len") > 0) & (F.col("packed") <= F.col("raw_len") * 0.95), 1).otherwise(0))
     return rows.withColumn("stored_len", F.when(F.col("codec") == 1, F.col("packed")).otherwise(F.col("raw_len"))).withColumn("attempted", F.col("raw_len") > 0).withColumn("escalated", (F.col("codec") == 1) & (F.col("raw_len") >= 2 * F.col("packed")))
 
@@ -199,7 +199,11 @@ def _label(x: str) -> str:
 
 _CLASS = "CASE " + " ".join(f"WHEN {{e}} IN ({', '.join(repr(x) for x in exts)}) THEN '{name}'" for name, exts in f.CLASSES.items()) + " ELSE 'other' END"
 _EXT = r"lower(regexp_extract({p}, '\.([^./]+)$', 1))"
-_CRC = None
+_CHOICES = (
+    with_sql("files")
+    + """, k AS (SELECT path, md5(text) AS chunk_id, size AS raw_len, CAST(floor(size * (CAST('0x' || substr(md5(text), 1, 6) AS INTEGER) % 120) / 100) AS BIGINT) AS packed FROM files),
+c AS (SELECT *, raw_len > 0 AND packed <= raw_len * 0.95::DOUBLE AS z FROM k), h AS (SELECT *, CASE WHEN z THEN packed ELSE raw_len END AS stored_len, z AND raw_len >= 2 * packed AS e FROM c)"""
+)
 
 QUERIES = {
     "size_parse": (size_parse, rf"SELECT x, CASE WHEN regexp_matches(trim(x), '^[0-9]+\s*[kKmM]?$') THEN CAST(regexp_extract(trim(x), '^([0-9]+)', 1) AS BIGINT) * CASE upper(right(trim(x), 1)) WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576 ELSE 1 END END AS bytes FROM {_list(_TEXTS)}"),
@@ -221,8 +225,17 @@ QUERIES = {
     "frames": (frames, with_sql("files") + " SELECT path, CAST(CASE size % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS INTEGER) AS codec, CASE size % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'zstd' END AS label, size AS payload FROM files"),
     "sealed_round_trip": (sealed_round_trip, "SELECT doc_id, true AS same, true AS refused, CAST(28 AS BIGINT) AS overhead FROM documents"),
     "policy_dimension": (policy_dimension, "SELECT CAST(o AS INTEGER) AS ord, p AS policy, u AS use_probe, e AS escalate, CAST(k AS DOUBLE) AS keep_threshold FROM (VALUES (0, 'raw-only', false, false, 0.0), (1, 'zstd3-always', false, false, -1.0), (2, 'zstd3', false, false, 0.95), (3, 'probe', true, false, 0.95), (4, 'escalate', true, true, 0.95)) t(o, p, u, e, k)"),
-    "policy_counters": (policy_counters, None),
-    "class_rollup": (class_rollup, None),
+    "policy_counters": (
+        policy_counters,
+        _CHOICES + ", t AS (SELECT count(*) FILTER (NOT z) AS raw_chunks, count(*) FILTER (z AND NOT e) AS zstd_chunks, count(*) FILTER (e) AS escalated_chunks, count(*) FILTER (raw_len > 0) AS attempts, CAST(sum(raw_len) AS BIGINT) AS bytes_in, CAST(sum(stored_len) AS BIGINT) AS bytes_out, count(*) AS n FROM h) SELECT raw_chunks, zstd_chunks, escalated_chunks, attempts, bytes_in, bytes_out, greatest(bytes_in - bytes_out, 0) AS bytes_saved, bytes_out + n AS framed_bytes, bytes_out + 41 * n AS stored_bytes, round(bytes_in / (bytes_out + 41 * n), 6) AS ratio FROM t",
+    ),
+    "class_rollup": (
+        class_rollup,
+        _CHOICES
+        + f""", o AS (SELECT chunk_id, min(path) AS path, min(raw_len) AS a, min(stored_len) AS b FROM h GROUP BY chunk_id),
+g AS (SELECT {_CLASS.format(e=_EXT.format(p='path'))} AS class, CAST(sum(a) AS BIGINT) AS bytes_in, CAST(sum(b) AS BIGINT) AS bytes_out FROM o GROUP BY 1)
+SELECT CAST(list_position({f.CLASS_ORDER!r}, class) AS INTEGER) AS ord, class, bytes_in, bytes_out, CASE WHEN sum(bytes_in - bytes_out) OVER () > 0 THEN round((bytes_in - bytes_out) / sum(bytes_in - bytes_out) OVER (), 6) ELSE 0.0 END AS share_of_savings FROM g""",
+    ),
     "codec_policy": (codec_policy, None),
     "policy_report": (policy_report, None),
     "recommended_policy": (recommended_policy, "SELECT 'zstd3-always' AS policy, CAST(500 AS BIGINT) AS steady_bytes"),

@@ -120,7 +120,7 @@ def file_orders(s, d):
     from pyspark.sql import Window as W
 
     rows = V.files(s, d).select(F.element_at(F.split("path", "/"), 1).alias("root"), "path")
-    rows = rows.withColumn("path", F.when(F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(3)) == 0, F.regexp_replace("path", "/([^/]*)$", ".$1")).otherwise(F.col("path")))
+    rows = rows.withColumn("path", F.when(F.md5("path") < "5", F.regexp_replace("path", "/([^/]*)$", ".$1")).otherwise(F.col("path")))
     place = lambda by: F.row_number().over(W.partitionBy("root").orderBy(by, "path")).cast("long")
     return rows.select("path", place("path").alias("by_path"), place(F.split("path", "/")).alias("by_directory"))
 
@@ -241,7 +241,10 @@ QUERIES = {
     "file_sizes": (file_sizes, _C16 + " SELECT path, CAST(sum(len) AS BIGINT) AS file_bytes, count(*) AS chunks FROM c GROUP BY path"),
     "scan_totals": (scan_totals, with_sql("files") + " SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files"),
     "scan_union": (scan_union, with_sql("current_tree", "baseline_tree") + " SELECT 'current/' || path AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM current_tree UNION ALL SELECT 'baseline/' || path, CAST(octet_length(encode(text)) AS BIGINT) FROM baseline_tree"),
-    "file_orders": (file_orders, None),
+    "file_orders": (
+        file_orders,
+        with_sql("files") + r", r AS (SELECT split_part(path, '/', 1) AS root, CASE WHEN md5(path) < '5' THEN regexp_replace(path, '/([^/]*)$', '.\1') ELSE path END AS path FROM files) SELECT path, row_number() OVER (PARTITION BY root ORDER BY path) AS by_path, row_number() OVER (PARTITION BY root ORDER BY string_split(path, '/'), path) AS by_directory FROM r",
+    ),
     "restore_assemble": (restore_assemble, with_sql("current_tree") + " SELECT path, md5(text) AS content_md5, CAST(length(text) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS missing FROM current_tree"),
     "integrity_check": (
         integrity_check,
