@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import format_plans, sizing_plans, store_plans
+from tessera.plans import format_plans, sizing_plans, store_plans, stream_plans
 
-_ALL = store_plans.QUERIES | sizing_plans.QUERIES | format_plans.QUERIES
+_ALL = store_plans.QUERIES | sizing_plans.QUERIES | format_plans.QUERIES | stream_plans.QUERIES
 
 
 def queries() -> dict:
