@@ -23,7 +23,7 @@ def sizing_report(spark: SparkSession, root: str, sizes: tuple[int, ...] = SIZES
     files = read_tree(spark, root, content=False)
     chunks = chunking.chunked(read_tree(spark, root), sizes, with_data=compression)
     before = chunking.chunked(read_tree(spark, baseline), sizes) if baseline else None
-    rows = sizing.report(files, chunks, snapshots, before)
+    rows = sizing.report(files, chunks, snapshots, before, sizes)
     out = {"dataset_bytes": files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], "snapshots": snapshots, "candidates": [r.asDict() for r in rows.orderBy("target_size").collect()]}
     best = sizing.recommend(rows.select("target_size", "cost")).first()
     out["recommended"] = best.target_size if best else None

@@ -76,6 +76,22 @@ def test_report_of_three_references(spark):
     assert (r.total_chunks, r.unique_chunks, r.unique_bytes, r.p50, r.p95, r.index_bytes, r.manifest_bytes, r.bookkeeping_bytes) == (3, 2, 300, 200, 200, 96, 200, 96 + 17 * 200)
 
 
+def test_report_of_nothing(spark):
+    files = spark.createDataFrame([], "path string, size long")
+    chunks = spark.createDataFrame([], "target_size long, path string, chunk_id string, len long")
+    r = sizing.report(files, chunks, 36, sizes=[512]).first()
+    assert (r.target_size, r.total_chunks, r.dedup_ratio, r.mean_len, r.p95, r.manifest_bytes, r.overlap_pct) == (512, 0, 1.0, 0.0, 0, 28, 0.0)
+
+
+def test_percentiles_are_nearest_rank(spark):
+    for n in (1, 2, 3, 19, 20, 21, 100, 101):
+        rng = random.Random(n)
+        lens = [rng.randint(1, 50) for _ in range(n)]
+        chunks = spark.createDataFrame([(1, "p", str(x), x) for x in lens], "target_size long, path string, chunk_id string, len long")
+        r = sizing.report(spark.createDataFrame([("p", 1)], "path string, size long"), chunks, 1).first()
+        assert (r.p50, r.p95) == tuple(sorted(lens)[max(1, -(-n * p // 100)) - 1] for p in (50, 95))
+
+
 def test_recommendation(spark):
     rows = lambda x: spark.createDataFrame(x, "target_size long, cost long")
     assert sizing.recommend(rows([(1024, 150), (512, 140), (256, 140)])).first()[0] == 256
