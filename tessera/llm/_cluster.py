@@ -41,6 +41,21 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+#: Parts that each key of salted_join() is dealt over before Spark splits any further.
+SALTS = 8
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of many rows with a table of one row a key, where one key may hold a third of the rows.
+
+    Each row goes to one of SALTS parts of its key by a hash of another column, and the table's rows to all. As both
+    sides then come straight from a shuffle, the adaptive skew join can split a part that is still too large.
+    """
+    salt = "_salt"
+    copies = keyed.withColumn(salt, F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [key, salt]).drop(salt)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches in smaller slices, so that what is made of one stays small."""
     for batch in batches:

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._cluster import checkpoint
+from tessera.llm._cluster import checkpoint, salted_join
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    """Joins each row with the least value of its key; a large key is split by the adaptive skew join."""
-    least = pairs.groupBy("a").agg(F.min("b").alias("m"))
-    return pairs.join(least, "a")
+    """Joins each row with the least value of its key; a hub's rows are dealt over many tasks."""
+    return salted_join(pairs, pairs.groupBy("a").agg(F.min("b").alias("m")), "a", "b")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

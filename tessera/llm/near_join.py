@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._cluster import checkpoint, sliced, small
+from tessera.llm._cluster import checkpoint, salted_join, sliced, small
 from tessera.llm._words import U, mix, shingles, words
 from tessera.llm.components import components
 
@@ -173,12 +173,12 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, tr
     drop = _BITS * (MAX_DEPTH - forest_depth(threshold, trees, recall))
     nodes = classes.select("rep", F.posexplode("labels").alias("tree", "label")).select("rep", F.xxhash64("tree", F.shiftright("label", drop)).alias("node"))
     full = nodes.groupBy("node").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first < last")
-    ties = nodes.join(full, "node").select(F.col("rep").alias("a"), F.col("first").alias("b")).filter("a <> b").distinct()
+    ties = salted_join(nodes, full, "node", "rep").select(F.col("rep").alias("a"), F.col("first").alias("b")).filter("a <> b").distinct()
     near = components(ties.unionByName(again)).withColumnRenamed("node", "rep")
     weights = classes.select("rep", "n")
     members = checkpoint(near.join(weights, "rep").groupBy("rep").agg(F.max("root").alias("root"), F.max("n").alias("n")))
     parts = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    blocked = members.join(parts, "root").select("rep", "root", "blocks", F.pmod(F.xxhash64("rep"), "blocks").alias("block"))
+    blocked = salted_join(members, parts, "root", "rep").select("rep", "root", "blocks", F.pmod(F.xxhash64("rep"), "blocks").alias("block"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
