@@ -29,3 +29,22 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_workers_need_no_path(tmp_path):
+    """Executors run the library's functions though their folder and path don't hold it."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()
+from tessera.plans import registry
+assert registry.queries()['cdc_fanout'](spark, {SF!r}).count() > 0
+assert registry.queries()['tree_scan'](spark, {SF!r}).count() == 14
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=env)
