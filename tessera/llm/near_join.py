@@ -167,14 +167,16 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, tr
     classes = checkpoint(held.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min("n").alias("n"), F.first("labels").alias("labels")))
     # one id with several texts ties their classes
     several = held.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("doc_id")
-    shared = held.join(several, "doc_id").select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"])
-    least = shared.groupBy("doc_id").agg(F.min("rep").alias("b"))
-    again = checkpoint(shared.join(least, "doc_id").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct())
+    again = None
+    if not several.isEmpty():
+        shared = held.join(several, "doc_id").select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"])
+        least = shared.groupBy("doc_id").agg(F.min("rep").alias("b"))
+        again = checkpoint(shared.join(least, "doc_id").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct())
     drop = _BITS * (MAX_DEPTH - forest_depth(threshold, trees, recall))
     nodes = classes.select("rep", F.posexplode("labels").alias("tree", "label")).select("rep", F.xxhash64("tree", F.shiftright("label", drop)).alias("node"))
     full = nodes.groupBy("node").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first < last")
     ties = salted_join(nodes, full, "node", "rep").select(F.col("rep").alias("a"), F.col("first").alias("b")).filter("a <> b").distinct()
-    near = components(ties.unionByName(again)).withColumnRenamed("node", "rep")
+    near = components(ties if again is None else ties.unionByName(again)).withColumnRenamed("node", "rep")
     weights = classes.select("rep", "n")
     members = checkpoint(near.join(weights, "rep").groupBy("rep").agg(F.max("root").alias("root"), F.max("n").alias("n")))
     parts = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
@@ -192,12 +194,13 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, tr
     links = checkpoint(tasks.groupBy("root", "low", "high").applyInPandas(lambda pdf: _linked(pdf, threshold), "rep long, links long, root long, split boolean"))
     counts = links.groupBy("rep").agg(F.sum("links").alias("n_links"))
     # what one task saw whole is final; forests of several tasks, or tied by an id, are joined
-    tied = not again.isEmpty()
-    whole, open_ = links.filter(~F.col("split") & F.lit(not tied)), links.filter(F.col("split") | F.lit(tied))
-    groups = whole.select("rep", "root")
-    if not open_.isEmpty() or tied:
-        edges = open_.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(again)
-        groups = groups.unionByName(components(edges).select(F.col("node").alias("rep"), "root"))
+    groups, open_ = links.select("rep", "root"), links
+    if again is None:
+        groups, open_ = links.filter(~F.col("split")).select("rep", "root"), links.filter("split")
+    if again is not None or not open_.isEmpty():
+        edges = open_.select(F.col("rep").alias("a"), F.col("root").alias("b"))
+        joint = components(edges if again is None else edges.unionByName(again)).select(F.col("node").alias("rep"), "root")
+        groups = joint if again is not None else groups.unionByName(joint)
     found = classes.select("h1", "h2", "rep", "n_copies").join(counts, "rep", "left").join(groups, "rep", "left")
     found = found.select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("rep").alias("copy_id"), "n_copies")
     rows = held.select("doc_id", "text_key", "h1", "h2").join(found, ["h1", "h2"]).select("doc_id", "class_id", "n_links", "copy_id", "n_copies", "text_key")
