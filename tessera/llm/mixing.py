@@ -223,7 +223,13 @@ def mixed(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK_WORDS, seed:
     return rows.mapInArrow(parts, docs.schema)
 
 
+def _dealt(draws: Column) -> Column:
+    """The draws as shard:place:pass:start:stop, by shard and by place in it."""
+    ordered = F.array_sort(F.transform(draws, lambda x: F.struct(x["shard"], x["place"], x["pass"], x["start"], x["stop"])))
+    return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", *[x[k].cast("string") for k in ("shard", "place", "pass", "start", "stop")])), ",")
+
+
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
-    """The contract's columns over whole documents."""
+    """The contract's columns over whole documents, and where each draw of a document stands in the mix."""
     found = mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "size", "source_size", "target", _taken(F.col("draws")).alias("taken"))
+    return found.select("doc_id", "size", "source_size", "target", _taken(F.col("draws")).alias("taken"), _dealt(F.col("draws")).alias("dealt"))

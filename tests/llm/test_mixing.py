@@ -102,3 +102,14 @@ def test_texts_are_cut_to_the_words_taken(spark):
         made[r.doc_id] = made.get(r.doc_id, 0) + size(r.text)
         assert r.n_chars == len(r.text) and r.size == "mine"
     assert made == {k: v for k, v in taken.items() if v}
+
+
+def test_op3_deals_draws_to_shards_in_order(spark):
+    shards = {}
+    for r in M.op3_mixing(spark, "/root/testdata/sf0.001").collect():
+        draws = [tuple(map(int, x.split(":"))) for x in r.dealt.split(",") if x]
+        assert draws == sorted(draws) and sum(d[4] - d[3] for d in draws) == r.taken
+        for shard, place, *_ in draws:
+            shards.setdefault(shard, set()).add(place)
+    sizes = [len(v) for v in shards.values()]
+    assert sorted(shards) == list(range(M.SHARDS)) and max(sizes) - min(sizes) <= 1
