@@ -1,11 +1,11 @@
-"""N-gram Jaccard join of documents by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join of documents by banded MinHash LSH with exact verification.
 
 A document is the set of its runs of five words (a shorter text is one run). Documents of equal sets are one copy
-class, of which one member goes on. Every set has `TREES` labels, one for each tree of the forest; a label is
-`MAX_DEPTH` MinHash components of eight bits, the first in the highest bits, so that a tree's trie is its labels in
-order and a node of depth k is a run of labels with the same k leading components. Starting from whole labels, the
-matched prefix is shortened a component at a time until two sets of exactly the threshold's similarity share a node
-of some tree with probability `RECALL` or more; more similar sets are found more surely.
+class, of which one member goes on. Every set has `TREES` labels of `MAX_DEPTH` MinHash components of eight bits, the first in the
+highest bits. This is not an LSH forest: no tries are built and no prefix is shortened by what the data hold. One prefix
+length serves all labels, forest_depth(): the longest at which two sets of exactly the threshold's similarity share a
+prefix with probability `RECALL` or more; more similar sets are found more surely. Each label's prefix is one band, and
+sets that share a band, a node, meet in a shuffle by its hash. Components beyond the prefix are computed and not used.
 
 Candidates are never written as pairs. Members of a node are tied to its least member, the ties' connected components
 are formed, and all pairs inside a component are compared exactly, in blocks of at most `BLOCK_ROWS` documents, by
