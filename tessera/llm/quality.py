@@ -5,8 +5,9 @@ is compressed with either dictionary; the difference of the summed sizes over th
 very short texts) is the only feature, and a logistic curve fitted on rows that trained no dictionary makes it a
 calibrated probability of a good label.
 
-Fitting uses at most `SAMPLE_ROWS` rows of each class, `SAMPLE_BLOCKS` evenly spaced blocks of each row; the class
-shares come from all training labels. Scoring reads every byte of every text.
+Fitting uses at most `SAMPLE_ROWS` rows of each class, `SAMPLE_BLOCKS` evenly spaced blocks of each row. A third of
+the rows only fits the curve; of the rest, in a fixed order, a class's dictionary takes rows until their blocks reach
+`TRAIN_BYTES`, and later rows train nothing. The class shares come from all training labels. Scoring reads every byte of every text.
 
 Defined results: null and empty texts have difference 0 and get the curve's value there; with one class or none among
 the labels every score is the share of good labels (0.5 without labels); repeated rows are scored alike; an empty
