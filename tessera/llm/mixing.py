@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._cluster import checkpoint, sliced, small
+from tessera.llm._cluster import bounded_batches, checkpoint, sliced, small
 
 WEIGHTS = (5, 2, 1)
 COPIES = 3
@@ -197,6 +197,7 @@ def mixed(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK_WORDS, seed:
 
     Other columns stay as they are, but n_chars, where there is one, follows the text.
     """
+    bounded_batches(docs.sparkSession)
     own = [F.col(n).alias(f"c{i}") for i, n in enumerate(docs.columns)]
     found = _drawn(_line(docs, own), checkpoint(_line(docs, [])), shards, block, seed)
     spans = F.transform("_draws", lambda d: F.struct(d["pass"], d["start"], d["stop"]))

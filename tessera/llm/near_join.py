@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._cluster import checkpoint, salted_join, sliced, small
+from tessera.llm._cluster import bounded_batches, checkpoint, salted_join, sliced, small
 from tessera.llm._words import U, mix, shingles, words
 from tessera.llm.components import components
 
@@ -162,6 +162,7 @@ def _linked(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def joined(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """Per row: doc_id, class_id (the least id of all that links reach), n_links (other sets this similar), copy_id (the
     least id of an equal set), n_copies, text_key."""
+    bounded_batches(docs.sparkSession)
     signed = checkpoint(signatures(docs, width, trees))
     held = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = checkpoint(held.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min("n").alias("n"), F.first("labels").alias("labels")))

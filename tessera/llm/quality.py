@@ -5,9 +5,9 @@ is compressed with either dictionary; the difference of the summed sizes over th
 very short texts) is the only feature, and a logistic curve fitted on rows that trained no dictionary makes it a
 calibrated probability of a good label.
 
-Fitting uses at most `SAMPLE_ROWS` rows of each class, `SAMPLE_BLOCKS` evenly spaced blocks of each row. A third of
-the rows only fits the curve; of the rest, in a fixed order, a class's dictionary takes rows until their blocks reach
-`TRAIN_BYTES`, and later rows train nothing. The class shares come from all training labels. Scoring reads every byte of every text.
+Fitting uses the whole texts of at most `SAMPLE_ROWS` rows of each class, the only bound: a third of them, chosen by a
+hash, fits the curve and the rest trains the dictionaries. The class shares come from all training labels. Scoring
+reads every byte of every text.
 
 Defined results: null and empty texts have difference 0 and get the curve's value there; with one class or none among
 the labels every score is the share of good labels (0.5 without labels); repeated rows are scored alike; an empty
@@ -17,23 +17,21 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._cluster import sliced
-from tessera.llm._labelled import SAMPLE_ROWS, fold, logistic, sampled, sigmoid
+from tessera.llm._cluster import bounded_batches, checkpoint
+from tessera.llm._labelled import SAMPLE_ROWS, fold, logistic, sampled
 
 BLOCK = 2048
 LEVEL = 3
 DICTIONARY_BYTES = 1 << 18
-SAMPLE_BLOCKS = 8
-TRAIN_BYTES = 8_000_000
 DAMP = 64
 FOLDS, HELD = 5, 0
 THRESHOLD = 0.3
@@ -53,7 +51,7 @@ def blocks(text: bytes) -> list[bytes]:
 
 
 def _dictionary(parts: list[bytes]) -> bytes:
-    parts = sorted(parts, key=zlib.crc32)  # the trainer takes stretches of its input, so each must hold many texts
+    parts = sorted(parts, key=lambda b: (zlib.crc32(b), b))  # the trainer takes stretches of its input, so each must hold many texts
     size = min(DICTIONARY_BYTES, max(1024, sum(map(len, parts)) // 4))
     try:
         return zstandard.train_dictionary(size, parts).as_bytes()
@@ -62,7 +60,7 @@ def _dictionary(parts: list[bytes]) -> bytes:
 
 
 class Sizes:
-    """Compressed sizes with either dictionary."""
+    """Compressed sizes with either dictionary, bad and good."""
 
     def __init__(self, dictionaries: tuple[bytes, bytes]):
         self.compressors = []
@@ -77,79 +75,58 @@ class Sizes:
         return (bad - good) / (bad + good + DAMP)
 
 
+def difference(dictionaries: tuple[bytes, bytes]) -> Callable[[Column], Column]:
+    """The difference of a column of texts; only the texts go to Python."""
+
+    @F.arrow_udf("double")
+    def measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        sizes = Sizes(dictionaries)
+        for some in texts:
+            yield pa.array(np.fromiter((sizes.difference(blocks(t.as_py() or b"")) for t in some.cast(pa.binary())), float, len(some)))
+
+    return measured
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, rows: int = SAMPLE_ROWS) -> Model:
     """Learns from labels.quality outside the held-out fold."""
+    bounded_batches(docs.sparkSession)
     texts, counts = sampled(docs, labels, "quality", folds, held, rows)
     total = counts.get(0, 0) + counts.get(1, 0)
     share = counts.get(1, 0) / total if total else 0.5
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, kinds, out = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), []
-            for i, k, t in zip(ids, kinds, batch.column("text").to_pylist(), strict=True):
-                all_ = blocks(t.encode())
-                some = all_ if len(all_) <= SAMPLE_BLOCKS else [all_[len(all_) * j // SAMPLE_BLOCKS] for j in range(SAMPLE_BLOCKS)]
-                out.append((i, k, some))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], batch.schema.field("doc_id").type), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.binary()))], ["doc_id", "label", "parts"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows_ = sorted(((str(r[0]), r[1], [bytes(b) for b in r[2]]) for r in texts.mapInArrow(cut, f"doc_id {kind}, label int, parts array<binary>").collect()), key=lambda r: (hash_text(r[0]), r[0]))
-    learn, check = [r for i, r in enumerate(rows_) if i % 3], [r for i, r in enumerate(rows_) if i % 3 == 0]
-    dictionaries = []
-    for label in (0, 1):
-        parts, size = [], 0
-        for _, _, some in (r for r in learn if r[1] == label):
-            if size < TRAIN_BYTES:
-                parts += some
-                size += sum(map(len, some))
-        dictionaries.append(parts)
-    if not all(sum(map(len, d)) >= 1024 for d in dictionaries) or len({r[1] for r in check}) < 2:
+    texts = checkpoint(texts.withColumn("third", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(3))))
+    learn: tuple[list[bytes], list[bytes]] = ([], [])
+    for label, text in texts.filter("third <> 0").select("label", F.col("text").cast("binary")).collect():
+        learn[label].extend(blocks(bytes(text)))
+    if not all(sum(map(len, parts)) >= 1024 for parts in learn):
+        return Model(None, (0.0, 0.0), share)
+    trained = (_dictionary(learn[0]), _dictionary(learn[1]))
+    check = np.array(sorted(map(tuple, texts.filter("third = 0").select(difference(trained)("text"), "label").collect())), float).reshape(-1, 2)
+    x, y = check[:, 0], check[:, 1]
+    if len(set(y)) < 2:
         return Model(None, (0.0, 0.0), share)
-    trained = (_dictionary(dictionaries[0]), _dictionary(dictionaries[1]))
-    sizes = Sizes(trained)
-    x, y = np.array([sizes.difference(r[2]) for r in check]), np.array([r[1] for r in check], float)
-    weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-    slope, cut_ = logistic(x, y, weight)
-    return Model(trained, (float(slope), float(cut_)), share)
+    weight = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y)
+    slope, cut = logistic(x, y, weight)
+    return Model(trained, (float(slope), float(cut)), share)
 
 
-def hash_text(text: str) -> int:
-    """A fixed order unlike that of ids."""
-    return zlib.crc32(text[::-1].encode())
+def score(text: Column, model: Model) -> Column:
+    """The probability of a good label."""
+    if not model.dictionaries:
+        return F.lit(model.share)
+    z = F.lit(model.curve[0]) * difference(model.dictionaries)(text) + F.lit(model.curve[1])
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), z))))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(model.dictionaries) if model.dictionaries else None
-        for batch in batches:
-            if sizes is None:
-                values = np.full(batch.num_rows, model.share)
-            else:
-                x = np.fromiter((sizes.difference(blocks((t.as_py() or "").encode())) for t in batch.column("text")), float, batch.num_rows)
-                values = sigmoid(model.curve[0] * x + model.curve[1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.float64())], ["doc_id", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double")
+    bounded_batches(docs.sparkSession)
+    return docs.select("doc_id", score(F.col("text"), model).alias("score"))
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, with their columns, in one pass."""
-    at = docs.columns.index("text")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(model.dictionaries) if model.dictionaries else None
-        for batch in sliced(batches):
-            if sizes is None:
-                good = np.full(batch.num_rows, model.share >= threshold)
-            else:
-                x = np.fromiter((sizes.difference(blocks((t.as_py() or "").encode())) for t in batch.column(at)), float, batch.num_rows)
-                good = sigmoid(model.curve[0] * x + model.curve[1]) >= threshold
-            yield batch.filter(pa.array(good))
-
-    return docs.mapInArrow(keep, docs.schema)
+    """The documents whose score reaches the threshold, with their columns, which never leave the JVM."""
+    bounded_batches(docs.sparkSession)
+    return docs.filter(score(docs["text"], model) >= threshold)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
