@@ -3,7 +3,7 @@ import subprocess
 import sys
 
 import corpus_pipeline as P
-from tessera.llm import decontaminate, mixing, near_join, quality
+from tessera.llm import decontaminate, near_join, quality
 from tests.llm import test_decontaminate, test_mixing, test_near_join
 from tests.llm.helpers import words
 
@@ -40,7 +40,7 @@ def test_stages_against_brute_force(spark, tmp_path):
             for i, t in kept[name]:
                 taken[source[i]] = taken.get(source[i], 0) + test_mixing.size(t)
             order = sorted(sizes)
-            assert {s: taken.get(s, 0) for s in order} == {s: int(t) for s, t in zip(order, mixing.targets([sizes[s] for s in order]), strict=True)}
+            assert {s: taken.get(s, 0) for s in order} == {s: int(t) for s, t in zip(order, test_mixing.targets([sizes[s] for s in order]), strict=True)}
         else:
             shards = {}
             for r in docs.collect():
