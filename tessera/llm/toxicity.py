@@ -1,9 +1,11 @@
 """Toxicity classifier with counterfactual regularisation.
 
 A text's features are the words it holds and the first four and five bytes of its words, hashed into `BUCKETS`; each
-counts once. A logistic model is fitted on labelled texts. For every labelled text with identity terms, counterfactual
-copies are made in which each term gives way to others of its kind, and the loss adds `PENALTY` times the squared
-change of the score, so a mention of a group moves the score as little as the labels allow.
+counts once. A logistic model is fitted on labelled texts. Of every labelled text that holds identity terms, as whole
+words, counterfactual copies are made: one for each of its terms and each other term of that kind and language, which
+takes the term's place wherever it stands. The copies' features are those of the changed text, and the loss adds
+`PENALTY` times the mean squared change of the score's logit from a text to its copies, so a mention of a group moves
+the score as little as the labels allow. A text without identity terms has no copies and adds nothing.
 
 Fitting uses at most `SAMPLE_ROWS` rows of each class; the class shares come from all training labels. A curve fitted
 on rows left out of the first fit calibrates the score. Scoring reads every word of every text.
@@ -15,6 +17,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._cluster import bounded_batches
 from tessera.llm._labelled import SAMPLE_ROWS, fold, logistic, sampled, sigmoid
 from tessera.llm._words import U, mix, words
 
@@ -36,7 +40,7 @@ LEAST = 0.2
 STEPS = 200
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
-#: Terms that may stand for each other in a neutral mention. Fixed values.
+#: Terms that may stand for each other in a neutral mention, in the four languages of the documents. Fixed values.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -47,10 +51,24 @@ IDENTITY_TERMS = (
     ("immigrant", "refugee", "citizen", "foreigner"),
     ("immigrants", "refugees", "citizens", "foreigners"),
     ("blind", "deaf", "disabled", "autistic"),
-    ("frauen", "männer"),
-    ("femmes", "hommes"),
-    ("mujeres", "hombres"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "bürger"),
+    ("blinde", "gehörlose", "behinderte", "autisten"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("homosexuels", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("aveugles", "sourds", "handicapés", "autistes"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
+    ("ciegos", "sordos", "discapacitados", "autistas"),
 )
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, range]]:
@@ -70,17 +88,19 @@ def _of(text: str) -> frozenset[int]:
     return frozenset(int(x) for bucket, _, _ in features(pa.array([text])) for x in bucket)
 
 
-def swaps() -> list[tuple[int, list[int], list[int]]]:
-    """For each term and each that may replace it: the term's own word bucket, buckets lost, buckets gained."""
-    out = []
-    for kind in IDENTITY_TERMS:
-        for a in kind:
-            for b in kind:
-                if a != b:
-                    was, now = _of(a), _of(b)
-                    (word,) = (mix(next(words(pa.array([a]))).hashes() + U(1)) % U(BUCKETS)).astype(np.int64)
-                    out.append((int(word), sorted(was - now), sorted(now - was)))
-    return out
+def counterfactuals(text: str) -> list[list[str]]:
+    """The words of each counterfactual copy of a text."""
+    held = _WORD.findall(text.translate(_LOWER))
+    mentioned = set(held)
+    return [[other if w == term else w for w in held] for kind in IDENTITY_TERMS for term in kind if term in mentioned for other in kind if other != term]
+
+
+def changes(text: str) -> list[tuple[list[int], list[int]]]:
+    """The buckets that each counterfactual copy loses, and those that it gains."""
+    copies = counterfactuals(text)
+    own = _of(text) if copies else frozenset()
+    made = [_of(" ".join(sorted(set(copy)))) for copy in copies]
+    return [(sorted(own - new), sorted(new - own)) for new in made]
 
 
 @dataclass
@@ -117,20 +137,13 @@ class _Rows:
         return np.bincount(self.at, x, BUCKETS)
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
-    """Weights by bucket and the intercept, by accelerated gradient steps over all rows."""
+def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, swaps: list[np.ndarray], penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+    """Weights by bucket and the intercept, by accelerated gradient steps over all rows.
+
+    swaps: for each counterfactual copy its signed buckets, see _signed().
+    """
     x = _Rows(rows)
-    changes, values = [], []
-    by_word: dict[int, list[tuple[list[int], list[int]]]] = {}
-    for word, lost, gained in swaps():
-        by_word.setdefault(word, []).append((lost, gained))
-    terms = np.array(sorted(by_word), np.int64)
-    for r in rows:
-        for word in terms[np.isin(terms, r)]:
-            for lost, gained in by_word[int(word)]:
-                changes.append(np.array(lost + gained, np.int64))
-                values.append(np.array([-1.0] * len(lost) + [1.0] * len(gained)))
-    swapped = _Rows(changes, values) if changes else None
+    swapped = _Rows([np.abs(c) - 1 for c in swaps], [np.sign(c).astype(float) for c in swaps]) if swaps else None
     # each feature is scaled by its shrunken log-odds ratio, so that words of no account stay near nothing
     ones, share = x.back(y), y.mean()
     seen = x.back(np.ones(len(y)))
@@ -162,23 +175,32 @@ def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, penalty: fl
     return w, b
 
 
+def _signed(lost: list[int], gained: list[int]) -> np.ndarray:
+    """Buckets counted from 1, below 0 if they are lost."""
+    return np.array([-k - 1 for k in lost] + [k + 1 for k in gained], np.int32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, rows: int = SAMPLE_ROWS, penalty: float = PENALTY) -> Model:
     """Learns from labels.toxic outside the held-out fold."""
+    bounded_batches(docs.sparkSession)
     texts, counts = sampled(docs, labels, "toxic", folds, held, rows)
     total = counts.get(0, 0) + counts.get(1, 0)
     share = counts.get(1, 0) / total if total else 0.0
 
     def held_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, copies = [], []
             for bucket, bounds, _ in features(batch.column("text")):
                 small = bucket.astype(np.int32)
                 out += [small[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "buckets"])
+            for text in batch.column("text"):
+                copies.append([_signed(*c).tobytes() for c in changes(text.as_py())])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary()), pa.array(copies, pa.list_(pa.binary()))], ["doc_id", "label", "buckets", "swaps"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sorted(texts.mapInArrow(held_words, f"doc_id {kind}, label int, buckets binary").collect(), key=lambda r: str(r[0]))
+    got = sorted(texts.mapInArrow(held_words, f"doc_id {kind}, label int, buckets binary, swaps array<binary>").collect(), key=lambda r: str(r[0]))
     found, y = [np.frombuffer(r[2], np.int32) for r in got], np.array([r[1] for r in got], float)
+    swaps = [[np.frombuffer(c, np.int32) for c in r[3]] for r in got]
     del got
     if not 0 < y.sum() < len(y):
         return Model(None, 0.0, (1.0, 0.0), share)
@@ -186,10 +208,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD
     part = np.arange(len(y)) % 4 == 0
     curve = (1.0, 0.0)
     if 0 < y[part].sum() < part.sum() and 0 < y[~part].sum() < (~part).sum():
-        w, b = train([r for r, k in zip(found, part, strict=True) if not k], y[~part], weight[~part], penalty)
+        w, b = train([r for r, k in zip(found, part, strict=True) if not k], y[~part], weight[~part], [c for of, k in zip(swaps, part, strict=True) if not k for c in of], penalty)
         z = _Rows([r for r, k in zip(found, part, strict=True) if k]).dot(w) + b
         curve = tuple(float(c) for c in logistic(z, y[part], weight[part], ridge=0.1))
-    w, b = train(found, y, weight, penalty)
+    w, b = train(found, y, weight, [c for of in swaps for c in of], penalty)
     return Model(w.astype(np.float32), b, curve, share)
 
 
@@ -206,6 +228,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                     values[rows.start : rows.stop] = sigmoid(model.curve[0] * z + model.curve[1])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.float64())], ["doc_id", "score"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double")
 
