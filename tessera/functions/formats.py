@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 KIB, MIB, GIB, TIB = 1 << 10, 1 << 20, 1 << 30, 1 << 40
 #: File classes by extension. Fixed values.
 CLASSES = {
-    "db/sqlite": "db sqlite sqlite3".split(),
-    "office-zip": "docx xlsx pptx odt ods zip jar".split(),
-    "pdf": ["pdf"],
-    "image": "jpg jpeg png gif webp bmp tiff".split(),
-    "text/code": "txt md rs py js ts c h cpp hpp json toml yaml yml csv log xml html css go java sql".split(),
+    "db/sqlite": ("db", "sqlite", "sqlite3"),
+    "office-zip": ("docx", "xlsx", "pptx", "odt", "ods", "zip", "jar"),
+    "pdf": ("pdf",),
+    "image": ("jpg", "jpeg", "png", "gif", "webp", "bmp", "tiff"),
+    "text/code": ("txt", "md", "rs", "py", "js", "ts", "c", "h", "cpp", "hpp", "json", "toml", "yaml", "yml", "csv", "log", "xml", "html", "css", "go", "java", "sql"),
 }
 CLASS_ORDER = [*CLASSES, "other"]
 
@@ -47,11 +47,10 @@ def id_ok(raw: Column, size: int = 32) -> Column:
 
 
 def parse_size(text: Column) -> Column:
-    """Bytes of `256K`, `1m` or a plain number; null if it isn't a size."""
-    trimmed = F.trim(text)
-    number = F.regexp_extract(trimmed, r"^([0-9]+)\s*([kKmM]?)$", 1)
-    unit = F.upper(F.regexp_extract(trimmed, r"^([0-9]+)\s*([kKmM]?)$", 2))
-    return F.when(number != "", number.try_cast("long") * F.when(unit == "K", KIB).when(unit == "M", MIB).otherwise(1))
+    """Bytes of `256K`, `1m` or a plain number; null if it isn't a size or is beyond 64 bits. No space before the unit."""
+    number, unit = (F.regexp_extract(text, r"^\s*\+?([0-9]+)([kKmM]?)\s*$", k) for k in (1, 2))
+    times = F.when(F.upper(unit) == "K", KIB).when(F.upper(unit) == "M", MIB).otherwise(1)
+    return F.when(number != "", F.try_multiply(number.try_cast("long"), times.cast("long")))
 
 
 def size_label(size: Column) -> Column:
@@ -72,10 +71,10 @@ def human_bytes(size: Column) -> Column:
 
 
 def parse_duration(text: Column) -> Column:
-    """Seconds of `3h`, `10m`, `45s` or a plain number; null if it isn't a duration."""
-    pattern = r"^([0-9]+)\s*([hms]?)$"
-    number, unit = F.regexp_extract(F.trim(text), pattern, 1), F.regexp_extract(F.trim(text), pattern, 2)
-    return F.when(number != "", number.try_cast("long") * F.when(unit == "h", 3600).when(unit == "m", 60).otherwise(1))
+    """Seconds of `3h`, `10M`, `45s` or a plain number; null if it isn't a duration. No space before the unit."""
+    number, unit = (F.regexp_extract(text, r"^\s*\+?([0-9]+)([hHmMsS]?)\s*$", k) for k in (1, 2))
+    times = F.when(F.lower(unit) == "h", 3600).when(F.lower(unit) == "m", 60).otherwise(1)
+    return F.when(number != "", F.try_multiply(number.try_cast("long"), times.cast("long")))
 
 
 def utc_text(ms: Column) -> Column:
@@ -97,7 +96,7 @@ def file_class(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     out = F.when(F.lit(False), "")
     for name, exts in CLASSES.items():
-        out = out.when(ext.isin(exts), name)
+        out = out.when(ext.isin(*exts), name)
     return out.otherwise("other")
 
 
@@ -127,13 +126,13 @@ def unseal(sealed: Column, key: Column, bound: Column) -> Column:
 
 
 def mib_per_second(size: Column, seconds: Column) -> Column:
-    """Infinite for no time at all."""
-    return F.when(seconds > 0, size / MIB / seconds).otherwise(F.lit(float("inf")))
+    """Infinite for no bytes or no time at all."""
+    return F.when((seconds > 0) & (size > 0), size / MIB / seconds).otherwise(F.lit(float("inf")))
 
 
 def seconds_for(size: Column, rate: Column) -> Column:
-    """Seconds that so many bytes take at a rate in MiB a second; none at an infinite rate."""
-    return F.when(rate == float("inf"), 0.0).when(rate > 0, size / MIB / rate).otherwise(F.lit(float("inf")))
+    """Seconds that so many bytes take at a rate in MiB a second; none for no bytes or at a rate that is no number above 0."""
+    return F.when((size != 0) & (rate > 0) & (rate < float("inf")), size / MIB / rate).otherwise(0.0)
 
 
 def harmonic_rate(*rates: Column) -> Column:
@@ -143,8 +142,19 @@ def harmonic_rate(*rates: Column) -> Column:
 
 
 def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:
-    """Seconds left at the rate so far; null before any progress and after the end."""
-    return F.when((done > 0) & (done < total), (total - done) * elapsed / done)
+    """Seconds left at the rate so far; null before any progress or time and after the end."""
+    return F.when((done > 0) & (done < total) & (elapsed > 0), (total - done) / (done / elapsed))
+
+
+def progress_rate(done: Column, elapsed: Column) -> Column:
+    """MiB a second so far; 0 before any time has passed."""
+    return F.when(elapsed > 0, done / elapsed / MIB).otherwise(0.0)
+
+
+def eta_suffix(eta: Column) -> Column:
+    """What a progress line ends with; empty where nothing is known."""
+    seconds = F.greatest(F.round(eta), F.lit(0.0)).cast("long").cast("string")
+    return F.when(eta.isNull(), "").otherwise(F.concat(F.lit(", ETA ~"), seconds, F.lit("s")))
 
 
 def codec_label(codec: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,10 +39,10 @@ def dimension(spark: SparkSession, policies: tuple[Policy, ...] = POLICIES) -> D
 
 
 def choose(data: bytes, policy: Policy, incremental: bool) -> tuple[int, int, bool, bool, bytes]:
-    """Codec, stored length, whether zstd ran, whether it escalated, and the payload.
+    """Codec, stored length, whether the higher level was tried, whether its result was taken, and the payload.
 
     A cheap probe may rule zstd out; a result above the kept share is stored raw; a chunk that compresses well is
-    compressed again at the higher level in the incremental phase.
+    compressed again at the higher level in the incremental phase, whose result is taken only if it is smaller.
     """
     if not data or policy.keep == 0:
         return RAW, len(data), False, False, data
@@ -51,11 +52,11 @@ def choose(data: bytes, policy: Policy, incremental: bool) -> tuple[int, int, bo
             return RAW, len(data), False, False, data
     packed = zstandard.ZstdCompressor(level=LEVEL).compress(data)
     if len(packed) > len(data) * policy.keep:
-        return RAW, len(data), True, False, data
+        return RAW, len(data), False, False, data
     if policy.escalate and incremental and len(data) / max(len(packed), 1) >= ESCALATE:
         more = zstandard.ZstdCompressor(level=ESCALATED).compress(data)
-        return ZSTD, len(more), True, True, more
-    return ZSTD, len(packed), True, False, packed
+        return (ZSTD, len(more), True, True, more) if len(more) < len(packed) else (ZSTD, len(packed), True, False, packed)
+    return ZSTD, len(packed), False, False, packed
 
 
 def decode(framed: bytes, most: int = 16 << 20) -> bytes:
@@ -72,12 +73,12 @@ def encode(data: bytes, policy: Policy, incremental: bool = False) -> bytes:
 
 
 def chosen(chunks: DataFrame, policies: tuple[Policy, ...] = POLICIES, incremental: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each chunk and policy: chunk_id, ord, policy, raw_len, codec, stored_len, attempted, escalated.
+    """A row for each chunk and policy: chunk_id, ord, policy, raw_len, codec, stored_len, attempted, escalated, wall (seconds).
 
     One pass over the bytes serves all policies. chunks: chunk_id, data, and columns to keep.
     """
     cols = ["chunk_id", *keep]
-    kinds = {"ord": pa.int32(), "policy": pa.string(), "raw_len": pa.int64(), "codec": pa.int32(), "stored_len": pa.int64(), "attempted": pa.bool_(), "escalated": pa.bool_()}
+    kinds = {"ord": pa.int32(), "policy": pa.string(), "raw_len": pa.int64(), "codec": pa.int32(), "stored_len": pa.int64(), "attempted": pa.bool_(), "escalated": pa.bool_(), "wall": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -87,20 +88,22 @@ def chosen(chunks: DataFrame, policies: tuple[Policy, ...] = POLICIES, increment
                 for i, data in enumerate(batch.column("data")):
                     raw = data.as_py() or b""
                     for k, policy in enumerate(policies):
+                        began = time.perf_counter()
                         codec, size, attempted, escalated, _ = choose(raw, policy, incremental)
+                        wall = time.perf_counter() - began
                         rows.append(i)
-                        for name, value in zip(kinds, (k, policy.name, len(raw), codec, size, attempted, escalated), strict=True):
+                        for name, value in zip(kinds, (k, policy.name, len(raw), codec, size, attempted, escalated, wall), strict=True):
                             out[name].append(value)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows, pa.int64())) for c in cols), *(pa.array(out[k], t) for k, t in kinds.items())], [*cols, *kinds])
 
     schema = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in cols)
-    return chunks.select(*cols, "data").mapInArrow(run, schema + ", ord int, policy string, raw_len long, codec int, stored_len long, attempted boolean, escalated boolean")
+    return chunks.select(*cols, "data").mapInArrow(run, schema + ", ord int, policy string, raw_len long, codec int, stored_len long, attempted boolean, escalated boolean, wall double")
 
 
 def counters(choices: DataFrame, *by: str) -> DataFrame:
-    """The counters of each policy: raw, zstd and escalated chunks, attempts, bytes in, out and saved.
+    """The counters of each policy: raw, zstd and escalated chunks, attempts at the higher level, bytes in, out and saved.
 
-    choices: codec, raw_len, stored_len, attempted, escalated. Bytes saved are never below 0; empty chunks add none.
+    choices: codec, raw_len, stored_len, attempted, escalated and perhaps wall, whose sum comes along. Bytes saved are never below 0; empty chunks add none.
     """
     zstd = F.col("codec") == ZSTD
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
@@ -112,6 +115,7 @@ def counters(choices: DataFrame, *by: str) -> DataFrame:
         total("raw_len").alias("bytes_in"),
         total("stored_len").alias("bytes_out"),
         F.greatest(total("raw_len") - total("stored_len"), F.lit(0)).alias("bytes_saved"),
+        *([F.coalesce(F.sum("wall"), F.lit(0.0)).alias("wall")] if "wall" in choices.columns else []),
     )
 
 
@@ -137,9 +141,9 @@ def class_rollup(choices: DataFrame) -> DataFrame:
 
 
 def scaled(counted: DataFrame, fraction: Column) -> DataFrame:
-    """Every counter times a fraction held to 0..1, rounded half away from nothing."""
+    """Every counter (and measured seconds) times a fraction held to 0..1; counters rounded half away from nothing."""
     f = F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction))
-    return counted.select(*[F.round(F.col(c) * f).cast("long").alias(c) if t == "bigint" else F.col(c) for c, t in counted.dtypes])
+    return counted.select(*[F.round(F.col(c) * f).cast("long").alias(c) if t == "bigint" else (F.col(c) * f).alias(c) if c == "wall" else F.col(c) for c, t in counted.dtypes])
 
 
 def policy_rows(rows: DataFrame, threads: int, bookkeeping: int) -> DataFrame:
@@ -147,21 +151,34 @@ def policy_rows(rows: DataFrame, threads: int, bookkeeping: int) -> DataFrame:
 
     rows: bytes_in, stored_bytes, read_rate, cdc_rate, hash_rate, codec_rate, seal_rate (MiB a second).
     """
-    rate = F.least(F.col("read_rate"), threads * formats.harmonic_rate(*(F.col(c) for c in ("cdc_rate", "hash_rate", "codec_rate", "seal_rate"))))
+    rate = F.least(F.col("read_rate"), max(1, threads) * formats.harmonic_rate(*(F.col(c) for c in ("cdc_rate", "hash_rate", "codec_rate", "seal_rate"))))
     out = rows.withColumn("rate", rate)
     return out.withColumn("cpu_seconds", formats.seconds_for(F.col("bytes_in"), F.col("rate"))).withColumn("steady_bytes", (F.col("stored_bytes") + bookkeeping).cast("long"))
 
 
-def incremental(rows: DataFrame) -> DataFrame:
-    """Adds what a run after the first costs: the measured delta, else the assumed churn of all, else nothing known.
+def incremental(rows: DataFrame, threads: int = 1) -> DataFrame:
+    """Adds what a run after the first costs: a scan of everything and the work on the measured delta, else on the assumed churn, else nothing known.
 
-    rows: total_bytes, delta_bytes (null without a baseline), churn_pct (null unless assumed), read_rate, delta_rate.
+    rows: total_bytes; delta_in, delta_stored, delta_wall (what the policy made of the delta, null without a baseline);
+    whole_in, whole_stored, whole_wall (what it made of everything, scaled by the assumed churn); churn_pct (null unless
+    assumed); read_rate, cdc_rate, hash_rate, seal_rate. Adds churn_source, delta_in, delta_stored, scan_seconds and
+    cpu_seconds.
     """
-    churn = F.when(F.col("churn_pct").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("churn_pct"))) / 100)
-    delta = F.when(F.col("delta_bytes").isNotNull(), F.col("delta_bytes").cast("double")).otherwise(F.round(F.col("total_bytes") * churn))
-    source = F.when(F.col("delta_bytes").isNotNull(), "measured").when(F.col("churn_pct").isNotNull(), "assumed")
-    seconds = formats.seconds_for(F.col("total_bytes"), F.col("read_rate")) + formats.seconds_for(delta, F.col("delta_rate"))
-    return rows.withColumn("churn_source", source).withColumn("incremental_bytes", delta.cast("long")).withColumn("incremental_seconds", F.when(delta.isNotNull(), seconds))
+    share = F.when(F.col("churn_pct").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("churn_pct") / 100)))
+    measured = F.col("delta_in").isNotNull()
+    of = lambda name: F.when(measured, F.col(f"delta_{name}").cast("double")).otherwise(F.round(F.col(f"whole_{name}") * share))
+    wall = F.when(measured, F.col("delta_wall")).otherwise(F.col("whole_wall") * share)
+    packing = formats.mib_per_second(of("in"), wall)
+    rate = F.least(F.col("read_rate"), max(1, threads) * formats.harmonic_rate(F.col("cdc_rate"), F.col("hash_rate"), packing, F.col("seal_rate")))
+    known = measured | F.col("churn_pct").isNotNull()
+    scan = formats.seconds_for(F.col("total_bytes"), F.col("read_rate"))
+    return rows.withColumns({
+        "churn_source": F.when(measured, "measured").when(known, "assumed"),
+        "incremental_bytes": of("in").cast("long"),
+        "incremental_stored": of("stored").cast("long"),
+        "scan_seconds": F.when(known, scan),
+        "incremental_seconds": F.when(known, scan + formats.seconds_for(of("in"), rate)),
+    })
 
 
 def bandwidth(rows: DataFrame, points: tuple[int, ...] = BANDWIDTHS) -> DataFrame:

@@ -11,8 +11,8 @@ from tessera.plans.views import with_sql
 from tessera.sources import sinks
 
 INF = float("inf")
-_TEXTS = ["256K", "1m", "4096", "", "12Q", " 8k ", "0", "M", "1 K", "-5"]
-_SPANS = ["3h", "10m", "45s", "90", "", "h", "1d", " 2h ", "7 m"]
+_TEXTS = ["256K", "1m", "4096", "", "12Q", " 8k ", "0", "M", "1 K", "-5", "+5", "9223372036854775807", "9223372036854775807K"]
+_SPANS = ["3h", "10m", "45s", "90", "", "h", "1d", " 2h ", "7 m", "3H", "4M", "5S", "+6"]
 _SIZES = [0, 1, 1023, 1024, 1536, 4096, 262144, 1048576, 1048577, 3221225472, 5 * 2**40, 123456789]
 _PATHS = ["a/b.txt", "", "/abs", "../x", "a/../b", "a//b", "a/./b", "ok", "c:/x", "a\\b", "é/ü.md", ".hidden/x", "..a/b"]
 _NAMES = ["a.DB", "x/y.sqlite3", "r.docx", "s.zip", "p.PDF", "i.jpeg", "n.tiff", "c.rs", "d.d/none", "e.", ".bashrc", "t.tar.gz", "q.html", "noext"]
@@ -104,8 +104,10 @@ def _choices(s, d):
     """Codec choices with given lengths, in which SQL can follow: raw_len, stored_len by a rule."""
     rows = V.files(s, d).select("path", F.md5("text").alias("chunk_id"), F.col("size").alias("raw_len"))
     packed = F.floor(F.col("raw_len") * (F.conv(F.substring("chunk_id", 1, 6), 16, 10).cast("long") % 120) / 100).cast("long")
-    rows = rows.withColumn("packed", packed).withColumn("codec", F.when((F.col("raw_len") > 0) & (F.col("packed") <= F.col("raw_len") * 0.95), 1).otherwise(0))
-    return rows.withColumn("stored_len", F.when(F.col("codec") == 1, F.col("packed")).otherwise(F.col("raw_len"))).withColumn("attempted", F.col("raw_len") > 0).withColumn("escalated", (F.col("codec") == 1) & (F.col("raw_len") >= 2 * F.col("packed")))
+    rows = rows.withColumn("packed", packed).withColumn("codec", F.when((F.col("raw_len") > 0) & (F.col("packed") <= F.col("raw_len") * P.KEEP), 1).otherwise(0))
+    # the higher level is tried on what packs well, and saves a byte on some of that
+    rows = rows.withColumn("attempted", (F.col("codec") == 1) & (F.col("raw_len") >= P.ESCALATE * F.col("packed"))).withColumn("escalated", F.col("attempted") & (F.col("packed") % 3 > 0))
+    return rows.withColumn("stored_len", F.when(F.col("codec") == 0, F.col("raw_len")).otherwise(F.col("packed") - F.col("escalated").cast("long")))
 
 
 def policy_counters(s, d):
@@ -119,7 +121,7 @@ def class_rollup(s, d):
 def codec_policy(s, d):
     """Every policy over the unique documents' bytes, counted."""
     chunks = V.files(s, d).select(F.sha2("text", 256).alias("chunk_id"), F.col("text").cast("binary").alias("data")).dropDuplicates(["chunk_id"])
-    return P.stored(P.counters(P.chosen(chunks), "ord", "policy")).orderBy("ord")
+    return P.stored(P.counters(P.chosen(chunks).drop("wall"), "ord", "policy")).orderBy("ord")
 
 
 def policy_report(s, d):
@@ -129,9 +131,10 @@ def policy_report(s, d):
     for k, v in rates.items():
         rows = rows.withColumn(k, F.lit(v))
     rows = rows.withColumn("codec_rate", F.when(F.col("policy") == "raw-only", INF).otherwise(300.0))
-    rows = P.policy_rows(rows, 8, 1_000_000)
-    rows = rows.withColumn("total_bytes", F.col("bytes_in")).withColumn("delta_bytes", F.lit(None).cast("long")).withColumn("churn_pct", F.lit(2.0)).withColumn("delta_rate", F.col("rate"))
-    return P.incremental(rows).select("ord", "policy", "rate", "cpu_seconds", "steady_bytes", "churn_source", "incremental_bytes", "incremental_seconds")
+    rows = P.policy_rows(rows, 8, 1_000_000).withColumn("wall", F.when(F.col("policy") == "raw-only", 0.0).otherwise(F.col("bytes_in") / f.MIB / 300.0))
+    none = {f"delta_{k}": F.lit(None).cast("double") for k in ("in", "stored", "wall")}
+    rows = rows.withColumns({"total_bytes": F.col("bytes_in"), "whole_in": F.col("bytes_in"), "whole_stored": F.col("stored_bytes"), "whole_wall": F.col("wall"), "churn_pct": F.lit(2.0), **none})
+    return P.incremental(rows, 8).select("ord", "policy", "rate", "cpu_seconds", "steady_bytes", "churn_source", "incremental_bytes", "incremental_stored", "incremental_seconds")
 
 
 def recommended_policy(s, d):
@@ -150,14 +153,17 @@ def bandwidth_projection(s, d):
 
 
 def transfer_rates(s, d):
-    rows = V.chunk_index(s, d).select("chunk_id", (F.col("chunk_len") * f.MIB).alias("size"), (F.col("chunk_id") % 4).cast("double").alias("t"))
+    """Rates of measured transfers, the seconds they give back, and the seconds of ten MiB at a fixed rate or none."""
+    rows = V.chunk_index(s, d).select("chunk_id", F.when(F.col("chunk_id") % 5 == 0, 0).otherwise(F.col("chunk_len") * f.MIB).alias("size"), (F.col("chunk_id") % 4).cast("double").alias("t"))
     rate = f.mib_per_second(F.col("size"), F.col("t"))
-    return rows.select("chunk_id", F.when(rate == INF, -1.0).otherwise(F.round(rate, 6)).alias("rate"), F.round(f.seconds_for(F.col("size"), rate), 6).alias("seconds"))
+    fixed = f.seconds_for(F.lit(10 * f.MIB), F.when(F.col("t") == 1, -2.0).otherwise(2.0))
+    return rows.select("chunk_id", F.when(rate == INF, -1.0).otherwise(F.round(rate, 6)).alias("rate"), F.round(f.seconds_for(F.col("size"), rate), 6).alias("seconds"), fixed.alias("at_rate"))
 
 
 def progress_eta(s, d):
-    rows = V.chunk_index(s, d).select("chunk_id", (F.col("chunk_id") % 60).alias("done"), F.lit(50).alias("total"), F.lit(12.0).alias("elapsed"))
-    return rows.select("chunk_id", F.round(f.eta_seconds(F.col("done"), F.col("total"), F.col("elapsed")), 6).alias("eta"))
+    rows = V.chunk_index(s, d).select("chunk_id", (F.col("chunk_id") % 60).alias("done"), F.lit(50).alias("total"), F.when(F.col("chunk_id") % 7 == 0, 0.0).otherwise(12.0).alias("elapsed"))
+    eta = f.eta_seconds(F.col("done"), F.col("total"), F.col("elapsed"))
+    return rows.select("chunk_id", F.round(eta, 6).alias("eta"), f.eta_suffix(eta).alias("suffix"), F.round(f.progress_rate(F.col("done") * f.MIB, F.col("elapsed")), 6).alias("mib_per_sec"))
 
 
 def assumed_churn_scale(s, d):
@@ -167,8 +173,13 @@ def assumed_churn_scale(s, d):
 
 def incremental_cost(s, d):
     k = F.col("chunk_id")
-    rows = V.chunk_index(s, d).select("chunk_id", (F.col("chunk_len") * f.MIB).alias("total_bytes"), F.when(k % 3 == 0, F.col("chunk_len") * 1000).alias("delta_bytes"), F.when(k % 2 == 0, (k % 300 - 50) * 1.0).alias("churn_pct"), F.lit(100.0).alias("read_rate"), F.lit(50.0).alias("delta_rate"))
-    return P.incremental(rows).select("chunk_id", "churn_source", "incremental_bytes", F.round("incremental_seconds", 6).alias("incremental_seconds"))
+    size = F.col("chunk_len") * f.MIB
+    rows = V.chunk_index(s, d).select(
+        "chunk_id", size.alias("total_bytes"), F.when(k % 3 == 0, F.col("chunk_len") * 1000).alias("delta_in"), F.when(k % 3 == 0, F.col("chunk_len") * 400).alias("delta_stored"), F.when(k % 3 == 0, F.col("chunk_len") * 1000 / f.MIB / 200.0).alias("delta_wall"),
+        size.alias("whole_in"), F.floor(size / 2).alias("whole_stored"), (F.col("chunk_len") / 200.0).alias("whole_wall"), F.when(k % 2 == 0, (k % 300 - 50) * 1.0).alias("churn_pct"),
+        F.lit(100.0).alias("read_rate"), F.lit(200.0).alias("cdc_rate"), F.lit(INF).alias("hash_rate"), F.lit(100.0).alias("seal_rate"),
+    )
+    return P.incremental(rows).select("chunk_id", "churn_source", "incremental_bytes", "incremental_stored", F.round("scan_seconds", 6).alias("scan_seconds"), F.round("incremental_seconds", 6).alias("incremental_seconds"))
 
 
 def schedule_delays(s, d):
@@ -202,12 +213,12 @@ _EXT = r"lower(regexp_extract({p}, '\.([^./]+)$', 1))"
 _CHOICES = (
     with_sql("files")
     + """, k AS (SELECT path, md5(text) AS chunk_id, size AS raw_len, CAST(floor(size * (CAST('0x' || substr(md5(text), 1, 6) AS INTEGER) % 120) / 100) AS BIGINT) AS packed FROM files),
-c AS (SELECT *, raw_len > 0 AND packed <= raw_len * 0.95::DOUBLE AS z FROM k), h AS (SELECT *, CASE WHEN z THEN packed ELSE raw_len END AS stored_len, z AND raw_len >= 2 * packed AS e FROM c)"""
+c AS (SELECT *, raw_len > 0 AND packed <= raw_len * 0.95::DOUBLE AS z FROM k), h AS (SELECT *, CASE WHEN z THEN packed - CAST(e AS INTEGER) ELSE raw_len END AS stored_len FROM (SELECT *, z AND raw_len >= 2 * packed AS t, z AND raw_len >= 2 * packed AND packed % 3 > 0 AS e FROM c))"""
 )
 
 QUERIES = {
-    "size_parse": (size_parse, rf"SELECT x, CASE WHEN regexp_matches(trim(x), '^[0-9]+\s*[kKmM]?$') THEN CAST(regexp_extract(trim(x), '^([0-9]+)', 1) AS BIGINT) * CASE upper(right(trim(x), 1)) WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576 ELSE 1 END END AS bytes FROM {_list(_TEXTS)}"),
-    "duration_parse": (duration_parse, rf"SELECT x, CASE WHEN regexp_matches(trim(x), '^[0-9]+\s*[hms]?$') THEN CAST(regexp_extract(trim(x), '^([0-9]+)', 1) AS BIGINT) * CASE right(trim(x), 1) WHEN 'h' THEN 3600 WHEN 'm' THEN 60 ELSE 1 END END AS seconds FROM {_list(_SPANS)}"),
+    "size_parse": (size_parse, rf"SELECT x, TRY_CAST(CAST(regexp_extract(trim(x), '^\+?([0-9]+)', 1) AS HUGEINT) * CASE upper(right(trim(x), 1)) WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576 ELSE 1 END AS BIGINT) AS bytes FROM (SELECT x FROM {_list(_TEXTS)} WHERE regexp_matches(trim(x), '^\+?[0-9]+[kKmM]?$')) UNION ALL SELECT x, NULL FROM {_list(_TEXTS)} WHERE NOT regexp_matches(trim(x), '^\+?[0-9]+[kKmM]?$')"),
+    "duration_parse": (duration_parse, rf"SELECT x, CASE WHEN regexp_matches(trim(x), '^\+?[0-9]+[hHmMsS]?$') THEN CAST(regexp_extract(trim(x), '^\+?([0-9]+)', 1) AS BIGINT) * CASE lower(right(trim(x), 1)) WHEN 'h' THEN 3600 WHEN 'm' THEN 60 ELSE 1 END END AS seconds FROM {_list(_SPANS)}"),
     "size_label": (size_label, with_sql("chunk_index") + f" SELECT chunk_id, {_label('(chunk_len * 512)')} AS label FROM chunk_index"),
     "human_bytes": (human_bytes, f"SELECT CAST(x AS BIGINT) AS x, CASE WHEN x < 1024 THEN CAST(x AS VARCHAR) || ' B' WHEN x < 1048576 THEN printf('%.2f KiB', x / 1024) WHEN x < 1073741824 THEN printf('%.2f MiB', x / 1048576) WHEN x < 1099511627776 THEN printf('%.2f GiB', x / 1073741824) ELSE printf('%.2f TiB', x / 1099511627776) END AS text FROM {_list(_SIZES)}"),
     "utc_format": (utc_format, with_sql("snapshots") + " SELECT snapshot_id, strftime(make_timestamp(time_ms * 1000), '%Y-%m-%d %H:%M:%S UTC') AS created FROM snapshots"),
@@ -227,7 +238,7 @@ QUERIES = {
     "policy_dimension": (policy_dimension, "SELECT CAST(o AS INTEGER) AS ord, p AS policy, u AS use_probe, e AS escalate, CAST(k AS DOUBLE) AS keep_threshold FROM (VALUES (0, 'raw-only', false, false, 0.0), (1, 'zstd3-always', false, false, -1.0), (2, 'zstd3', false, false, 0.95), (3, 'probe', true, false, 0.95), (4, 'escalate', true, true, 0.95)) t(o, p, u, e, k)"),
     "policy_counters": (
         policy_counters,
-        _CHOICES + ", t AS (SELECT count(*) FILTER (NOT z) AS raw_chunks, count(*) FILTER (z AND NOT e) AS zstd_chunks, count(*) FILTER (e) AS escalated_chunks, count(*) FILTER (raw_len > 0) AS attempts, CAST(sum(raw_len) AS BIGINT) AS bytes_in, CAST(sum(stored_len) AS BIGINT) AS bytes_out, count(*) AS n FROM h) SELECT raw_chunks, zstd_chunks, escalated_chunks, attempts, bytes_in, bytes_out, greatest(bytes_in - bytes_out, 0) AS bytes_saved, bytes_out + n AS framed_bytes, bytes_out + 41 * n AS stored_bytes, round(bytes_in / (bytes_out + 41 * n), 6) AS ratio FROM t",
+        _CHOICES + ", t AS (SELECT count(*) FILTER (NOT z) AS raw_chunks, count(*) FILTER (z AND NOT e) AS zstd_chunks, count(*) FILTER (e) AS escalated_chunks, count(*) FILTER (t) AS attempts, CAST(sum(raw_len) AS BIGINT) AS bytes_in, CAST(sum(stored_len) AS BIGINT) AS bytes_out, count(*) AS n FROM h) SELECT raw_chunks, zstd_chunks, escalated_chunks, attempts, bytes_in, bytes_out, greatest(bytes_in - bytes_out, 0) AS bytes_saved, bytes_out + n AS framed_bytes, bytes_out + 41 * n AS stored_bytes, round(bytes_in / (bytes_out + 41 * n), 6) AS ratio FROM t",
     ),
     "class_rollup": (
         class_rollup,
@@ -241,12 +252,18 @@ SELECT CAST(list_position({f.CLASS_ORDER!r}, class) AS INTEGER) AS ord, class, b
     "recommended_policy": (recommended_policy, "SELECT 'zstd3-always' AS policy, CAST(500 AS BIGINT) AS steady_bytes"),
     "harmonic_rate": (harmonic_rate, with_sql("chunk_index") + " SELECT chunk_id, round(CASE WHEN s > 0 THEN 1 / s ELSE CAST('Infinity' AS DOUBLE) END, 6) AS rate FROM (SELECT chunk_id, CASE WHEN chunk_len > 0 THEN 1.0::DOUBLE / chunk_len ELSE 0 END + CASE WHEN chunk_id % 3 = 0 THEN 0 ELSE 1.0::DOUBLE / (chunk_id * 2) END + CASE WHEN chunk_id % 4 = 0 THEN 0 ELSE 1.0::DOUBLE / 7 END AS s FROM chunk_index)"),
     "bandwidth_projection": (bandwidth_projection, with_sql("chunk_index") + " SELECT chunk_id, CAST(m AS BIGINT) AS mbit, round(greatest(chunk_len / 10.0::DOUBLE, chunk_len * 10000000 / 1048576::DOUBLE / (m / 8::DOUBLE)), 6) AS seconds FROM chunk_index, (VALUES (50), (200), (1000)) v(m)"),
-    "transfer_rates": (transfer_rates, with_sql("chunk_index") + " SELECT chunk_id, CASE WHEN t = 0 THEN -1.0 ELSE round(n / t, 6) END AS rate, CASE WHEN t = 0 THEN 0.0 WHEN n = 0 THEN CAST('Infinity' AS DOUBLE) ELSE round(n / (n / t), 6) END AS seconds FROM (SELECT chunk_id, CAST(chunk_len AS DOUBLE) AS n, CAST(chunk_id % 4 AS DOUBLE) AS t FROM chunk_index)"),
-    "progress_eta": (progress_eta, with_sql("chunk_index") + " SELECT chunk_id, round(CASE WHEN n > 0 AND n < 50 THEN (50 - n) * 12.0::DOUBLE / n END, 6) AS eta FROM (SELECT chunk_id, chunk_id % 60 AS n FROM chunk_index)"),
+    "transfer_rates": (transfer_rates, with_sql("chunk_index") + " SELECT chunk_id, CASE WHEN t = 0 OR n = 0 THEN -1.0 ELSE round(n / t, 6) END AS rate, CASE WHEN t = 0 OR n = 0 THEN 0.0 ELSE round(n / (n / t), 6) END AS seconds, CASE WHEN t = 1 THEN 0.0 ELSE 5.0 END AS at_rate FROM (SELECT chunk_id, CASE WHEN chunk_id % 5 = 0 THEN 0.0 ELSE CAST(chunk_len AS DOUBLE) END AS n, CAST(chunk_id % 4 AS DOUBLE) AS t FROM chunk_index)"),
+    "progress_eta": (progress_eta, with_sql("chunk_index") + " SELECT chunk_id, round(e, 6) AS eta, CASE WHEN e IS NULL THEN '' ELSE ', ETA ~' || CAST(CAST(round(e) AS BIGINT) AS VARCHAR) || 's' END AS suffix, CASE WHEN t > 0 THEN round(n / t, 6) ELSE 0.0 END AS mib_per_sec FROM (SELECT chunk_id, n, t, CASE WHEN n > 0 AND n < 50 AND t > 0 THEN (50 - n) / (n / t) END AS e FROM (SELECT chunk_id, chunk_id % 60 AS n, CASE WHEN chunk_id % 7 = 0 THEN 0.0::DOUBLE ELSE 12.0::DOUBLE END AS t FROM chunk_index))"),
     "assumed_churn_scale": (assumed_churn_scale, with_sql("chunk_index") + " SELECT CAST(chunk_id AS VARCHAR) AS id, CAST(round(chunk_len * 0.15::DOUBLE) AS BIGINT) AS n FROM chunk_index"),
     "incremental_cost": (
         incremental_cost,
-        with_sql("chunk_index") + ", r AS (SELECT chunk_id AS k, chunk_len * 1048576 AS total, CASE WHEN chunk_id % 3 = 0 THEN chunk_len * 1000 END AS delta, CASE WHEN chunk_id % 2 = 0 THEN CAST(chunk_id % 300 - 50 AS DOUBLE) END AS churn FROM chunk_index), c AS (SELECT *, CASE WHEN delta IS NOT NULL THEN CAST(delta AS DOUBLE) ELSE round(total * (CASE WHEN churn IS NULL THEN NULL ELSE greatest(0.0, least(100.0, churn)) END / 100)) END AS bytes FROM r) SELECT k AS chunk_id, CASE WHEN delta IS NOT NULL THEN 'measured' WHEN churn IS NOT NULL THEN 'assumed' END AS churn_source, CAST(bytes AS BIGINT) AS incremental_bytes, round(total / 1048576 / 100.0::DOUBLE + bytes / 1048576 / 50.0::DOUBLE, 6) AS incremental_seconds FROM c",
+        with_sql("chunk_index")
+        + """, r AS (SELECT chunk_id AS k, chunk_len AS n, chunk_id % 3 = 0 AS m, CASE WHEN chunk_id % 2 = 0 THEN CAST(chunk_id % 300 - 50 AS DOUBLE) END AS churn FROM chunk_index),
+c AS (SELECT *, CASE WHEN churn IS NULL THEN NULL ELSE greatest(0.0, least(100.0, churn)) / 100 END AS share FROM r),
+b AS (SELECT *, CASE WHEN m THEN CAST(n * 1000 AS DOUBLE) ELSE round(n * 1048576 * share) END AS bytes, CASE WHEN m THEN CAST(n * 400 AS DOUBLE) ELSE round(n * 524288 * share) END AS kept FROM c)
+SELECT k AS chunk_id, CASE WHEN m THEN 'measured' WHEN churn IS NOT NULL THEN 'assumed' END AS churn_source, CAST(bytes AS BIGINT) AS incremental_bytes, CAST(kept AS BIGINT) AS incremental_stored,
+round(CASE WHEN m OR churn IS NOT NULL THEN n / 100.0::DOUBLE END, 6) AS scan_seconds,
+round(CASE WHEN m OR churn IS NOT NULL THEN n / 100.0::DOUBLE + CASE WHEN bytes > 0 THEN bytes / 1048576 / (1 / (1 / 200.0::DOUBLE + 1 / 200.0::DOUBLE + 1 / 100.0::DOUBLE)) ELSE 0 END END, 6) AS incremental_seconds FROM b""",
     ),
     "schedule_delays": (schedule_delays, with_sql("chunk_index") + " SELECT chunk_id, round(10800.0::DOUBLE * (1 + 0.1::DOUBLE * (2 * (chunk_id % 101 / 100.0::DOUBLE) - 1)), 6) AS delay, CAST(10800.0 AS DOUBLE) AS exact FROM chunk_index"),
     "prune_modes": (prune_modes, "SELECT CAST(x AS INTEGER) AS x, CASE x WHEN 0 THEN 'manual' WHEN 1 THEN 'auto' END AS mode FROM (VALUES (0), (1), (2)) t(x)"),

@@ -14,6 +14,8 @@ def one(spark, kind, values, column):
 
 def test_sizes_and_durations(spark):
     assert one(spark, "string", ["256K", "1m", "4096", "", "12Q", None], f.parse_size) == [262144, 1048576, 4096, None, None, None]
+    assert one(spark, "string", ["1 K", "+5", "\t8k\n", "9223372036854775807K", "1K2"], f.parse_size) == [None, 5, 8192, None, None]
+    assert one(spark, "string", ["3H", "7 m", "9M", "5S", "1d"], f.parse_duration) == [10800, None, 540, 5, None]
     assert one(spark, "string", ["3h", "10m", "45s", "90", "x"], f.parse_duration) == [10800, 600, 45, 90, None]
     assert one(spark, "long", [0, 512, 1024, 3 << 20, 1536 << 10], f.size_label) == ["0B", "512B", "1K", "3M", "1536K"]
     assert one(spark, "long", [5, 1536, 5 << 40], f.human_bytes) == ["5 B", "1.50 KiB", "5.00 TiB"]
@@ -54,6 +56,12 @@ def test_rates(spark):
     assert one(spark, "double", [2.0, inf, 0.0], lambda c: f.harmonic_rate(c, F.lit(2.0))) == [1.0, 2.0, 2.0]
     assert one(spark, "double", [inf, 0.0], lambda c: f.harmonic_rate(c)) == [inf, inf]
     assert one(spark, "double", [inf, 2.0], lambda c: f.seconds_for(F.lit(4 << 20), c)) == [0.0, 2.0]
+    assert one(spark, "double", [-1.0, 0.0], lambda c: f.seconds_for(F.lit(4 << 20), c)) == [0.0, 0.0]
+    assert one(spark, "double", [0.0, 2.0], lambda c: f.seconds_for(F.lit(0), c)) == [0.0, 0.0]
+    assert one(spark, "long", [0, 4 << 20], lambda c: f.mib_per_second(c, F.lit(2.0))) == [inf, 2.0]
+    assert one(spark, "double", [0.0, 2.0], lambda c: f.progress_rate(F.lit(4 << 20), c)) == [0.0, 2.0]
+    assert one(spark, "double", [None, 2.6], f.eta_suffix) == ["", ", ETA ~3s"]
+    assert one(spark, "double", [0.0], lambda c: f.eta_seconds(F.lit(1), F.lit(10), c)) == [None]
     assert one(spark, "long", [0, 5, 10], lambda c: f.eta_seconds(c, F.lit(10), F.lit(3.0))) == [None, 3.0, None]
     assert one(spark, "double", [0.0, 0.5, 1.0], lambda c: f.next_delay(F.lit(10.0), 0.1, c)) == [9.0, 10.0, 11.0]
 
