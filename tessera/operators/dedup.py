@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from tessera.operators import ordered
 
 
 def unique(chunks: DataFrame) -> DataFrame:
@@ -57,36 +61,41 @@ def with_offsets(chunks: DataFrame) -> DataFrame:
 
 def progress(files: DataFrame, by: str) -> DataFrame:
     """Running files and bytes along a column's order, inside each root. files: root, path, size."""
-    upto = W.partitionBy("root").orderBy(by).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return files.withColumn("files_done", F.count("*").over(upto)).withColumn("bytes_done", F.sum("size").over(upto).cast("long"))
+    return ordered.along(files, "root", [by], {"files_done": F.lit(1).cast("long"), "bytes_done": F.col("size").cast("long")})
 
 
 def batches(chunks: DataFrame, most_chunks: int = 64, most_bytes: int = 32 << 20) -> DataFrame:
     """Adds the number of the upload batch: a batch is closed when it has so many chunks or bytes.
 
-    The cut depends on all before it, so a root's chunks are folded in order. chunks: root, seq, len.
+    The cut depends on all before it, so a root's chunks are folded in order. chunks: root, seq, len, each chunk once
+    (see first_occurrence).
     """
 
-    def cut(pdf):
-        number, n, size, out = 0, 0, 0, []
-        for length in pdf.sort_values("seq")["len"]:
-            out.append(number)
-            n, size = n + 1, size + length
-            if n >= most_chunks or size >= most_bytes:
-                number, n, size = number + 1, 0, 0
-        return pdf.sort_values("seq")[["root", "seq", "len"]].assign(batch=out)
+    def cut(state: tuple[int, int, int], row: tuple | None) -> tuple[tuple[int, int, int], list[tuple]]:
+        if row is None:
+            return state, []
+        number, n, size = state
+        n, size = n + 1, size + row[2]
+        return (number + 1, 0, 0) if n >= most_chunks or size >= most_bytes else (number, n, size), [(*row, number)]
 
-    return chunks.select("root", "seq", "len").groupBy("root").applyInPandas(cut, "root string, seq long, len long, batch long")
+    plain = chunks.select(F.col("root").cast("string"), F.col("seq").cast("long"), F.col("len").cast("long"))
+    return ordered.folded(plain, "root", ["seq"], lambda: (0, 0, 0), cut, "root string, seq long, len long, batch long", [pa.string(), pa.int64(), pa.int64(), pa.int64()])
 
 
 def throttled(ticks: DataFrame, every_ms: int = 150) -> DataFrame:
     """Ticks that are shown: so long after the last shown, and always the final one. ticks: run, at_ms."""
-    listed = F.array_sort(F.collect_list("at_ms"))
-    none = F.array().cast("array<bigint>")
-    shown = F.aggregate("ticks", none, lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= every_ms), F.array_append(a, t)).otherwise(a))
-    last = F.element_at("ticks", -1)
-    final = F.when(F.element_at("shown", -1) == last, F.col("shown")).otherwise(F.array_append("shown", last))
-    return ticks.groupBy("run").agg(listed.alias("ticks")).withColumn("shown", shown).select("run", F.explode(final).alias("at_ms"))
+
+    def show(state: tuple[int | None, int | None], row: tuple | None) -> tuple[tuple, list[tuple]]:
+        shown, last = state[0], state[1]
+        if row is None:
+            return state, [(last[0], last[1])] if last != shown else []
+        if shown is None or row[1] - shown[1] >= every_ms:
+            return (row, row), [row]
+        return (shown, row), []
+
+    kind = ticks.schema["run"].dataType
+    plain = ticks.select("run", F.col("at_ms").cast("long"))
+    return ordered.folded(plain, "run", ["at_ms"], lambda: (None, None), show, f"run {kind.simpleString()}, at_ms long", [to_arrow_type(kind), pa.int64()])
 
 
 def united(trees: list[DataFrame], roots: list[str]) -> DataFrame:
@@ -100,11 +109,10 @@ def united(trees: list[DataFrame], roots: list[str]) -> DataFrame:
     return out
 
 
-def by_path(files: DataFrame) -> DataFrame:
-    """Files by their whole path, byte by byte."""
-    return files.orderBy("path")
+def places(files: DataFrame) -> DataFrame:
+    """Adds by_path, each file's place in its root by whole path, and by_directory, names in order directory by directory.
 
-
-def by_directory(files: DataFrame) -> DataFrame:
-    """Files directory by directory, names in order: unlike by_path where a name holds a byte below the slash."""
-    return files.orderBy(F.split("path", "/"))
+    The two differ where a name holds a byte below the slash. files: root, path.
+    """
+    whole = ordered.along(files, "root", ["path"], {"by_path": F.lit(1).cast("long")})
+    return ordered.along(whole, "root", [F.split("path", "/"), F.col("path")], {"by_directory": F.lit(1).cast("long")})

@@ -58,7 +58,7 @@ def chunk_percentiles(s, d):
 
 
 def manifest_bytes(s, d):
-    now = V.tree(s, d, "current")
+    now = V.tree(s, d, "all")
     return sizing.manifest_bytes(_files(now), _sized(now))
 
 
@@ -79,11 +79,11 @@ def shared_ids(s, d):
 
 
 def unique_ids(s, d):
-    return dedup.unique(_chunks(V.tree(s, d, "current"), 16)).select("chunk_id")
+    return dedup.unique(_chunks(V.tree(s, d, "all"), 16)).select("chunk_id")
 
 
 def first_occurrence(s, d):
-    return dedup.first_occurrence(_chunks(V.tree(s, d, "current"), 16))
+    return dedup.first_occurrence(_chunks(V.tree(s, d, "all"), 16))
 
 
 def backup_ledger(s, d):
@@ -97,12 +97,12 @@ def ship_partition(s, d):
 
 
 def chunk_offsets(s, d):
-    return dedup.with_offsets(_chunks(V.tree(s, d, "current"), 16)).select("path", "seq", "offset", "len")
+    return dedup.with_offsets(_chunks(V.tree(s, d, "all"), 16)).select("path", "seq", "offset", "len")
 
 
 def file_sizes(s, d):
     """Each file's bytes as the sum of its chunks."""
-    return _chunks(V.tree(s, d, "current"), 16).groupBy("path").agg(F.sum("len").cast("long").alias("file_bytes"), F.count("*").alias("chunks"))
+    return _chunks(V.tree(s, d, "all"), 16).groupBy("path").agg(F.sum("len").cast("long").alias("file_bytes"), F.count("*").alias("chunks"))
 
 
 def scan_totals(s, d):
@@ -117,17 +117,14 @@ def scan_union(s, d):
 
 def file_orders(s, d):
     """Places of files by whole path and by directory, which differ."""
-    from pyspark.sql import Window as W
-
     rows = V.files(s, d).select(F.element_at(F.split("path", "/"), 1).alias("root"), "path")
     rows = rows.withColumn("path", F.when(F.md5("path") < "5", F.regexp_replace("path", "/([^/]*)$", ".$1")).otherwise(F.col("path")))
-    place = lambda by: F.row_number().over(W.partitionBy("root").orderBy(by, "path")).cast("long")
-    return rows.select("path", place("path").alias("by_path"), place(F.split("path", "/")).alias("by_directory"))
+    return dedup.places(rows).select("path", "by_path", "by_directory")
 
 
 def restore_assemble(s, d):
     """Files put together from their chunks; the hash of the content is that of the text."""
-    tree = V.tree(s, d, "current").select("path", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 500).cast("int"))).alias("seq"), "text")
+    tree = V.tree(s, d, "all").select("path", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 500).cast("int"))).alias("seq"), "text")
     parts = tree.select("path", "seq", F.substring(F.col("text"), F.col("seq") * 500 + 1, F.lit(500)).alias("data")).withColumn("chunk_id", F.md5("data"))
     held = parts.select("chunk_id", "data").dropDuplicates(["chunk_id"])
     return restore.assembled(parts.select("path", "seq", "chunk_id"), held).select("path", F.md5("content").alias("content_md5"), F.length("content").cast("long").alias("chars"), "missing")
@@ -205,7 +202,7 @@ def upload_batches(s, d):
 
 
 _BOTH = with_sql("current_tree", "baseline_tree") + ", " + ", ".join(_chunk_sql(f"{n}{r}", f"{n}_tree", r) for n in ("current", "baseline") for r in RATES)
-_C16 = with_sql("current_tree") + ", " + _chunk_sql("c", "current_tree", 16)
+_C16 = with_sql("all_tree") + ", " + _chunk_sql("c", "all_tree", 16)
 _CB = with_sql("current_tree", "baseline_tree") + ", " + _chunk_sql("c", "current_tree", 16) + ", " + _chunk_sql("b", "baseline_tree", 16)
 _REPORT = (
     _BOTH
@@ -226,7 +223,10 @@ QUERIES = {
     "sizing_report": (sizing_report, _REPORT + " SELECT * FROM r"),
     "recommend_size": (recommend_size, _REPORT + " SELECT target_size, cost FROM r ORDER BY cost, target_size LIMIT 1"),
     "chunk_percentiles": (chunk_percentiles, "SELECT source, " + ", ".join(f"CAST(quantile_disc(n_chars, {p}) AS BIGINT) AS p{round(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99)) + " FROM documents GROUP BY source"),
-    "manifest_bytes": (manifest_bytes, _REPORT + " SELECT target_size, manifest_bytes FROM r"),
+    "manifest_bytes": (
+        manifest_bytes,
+        with_sql("all_tree") + "".join(", " + _chunk_sql(f"c{r}", "all_tree", r) for r in RATES) + ", n AS (" + " UNION ALL ".join(f"SELECT CAST({r} AS BIGINT) AS t, count(*) AS n FROM c{r}" for r in RATES) + "), f AS (SELECT count(*) AS files, sum(octet_length(encode(path))) AS path_bytes FROM all_tree) SELECT t AS target_size, CAST(28 + 32 * files + path_bytes + 32 * n AS BIGINT) AS manifest_bytes FROM n, f",
+    ),
     "baseline_overlap": (baseline_overlap, _CB + ", u AS (SELECT DISTINCT chunk_id FROM c) SELECT count(*) AS unique_chunks, count(*) FILTER (x) AS shared_chunks, round(count(*) FILTER (x) / count(*) * 100, 6) AS overlap_pct FROM (SELECT chunk_id IN (SELECT chunk_id FROM b) AS x FROM u)"),
     "baseline_delta": (baseline_delta, _CB + " SELECT DISTINCT chunk_id, len FROM c WHERE chunk_id NOT IN (SELECT chunk_id FROM b)"),
     "shared_ids": (shared_ids, _CB + " SELECT chunk_id FROM c INTERSECT SELECT chunk_id FROM b"),
@@ -245,7 +245,7 @@ QUERIES = {
         file_orders,
         with_sql("files") + r", r AS (SELECT split_part(path, '/', 1) AS root, CASE WHEN md5(path) < '5' THEN regexp_replace(path, '/([^/]*)$', '.\1') ELSE path END AS path FROM files) SELECT path, row_number() OVER (PARTITION BY root ORDER BY path) AS by_path, row_number() OVER (PARTITION BY root ORDER BY string_split(path, '/'), path) AS by_directory FROM r",
     ),
-    "restore_assemble": (restore_assemble, with_sql("current_tree") + " SELECT path, md5(text) AS content_md5, CAST(length(text) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS missing FROM current_tree"),
+    "restore_assemble": (restore_assemble, with_sql("all_tree") + " SELECT path, md5(text) AS content_md5, CAST(length(text) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS missing FROM all_tree"),
     "integrity_check": (
         integrity_check,
         "WITH w AS (SELECT sha256(coalesce(text, '')) AS chunk_id, min(doc_id) AS i, any_value(coalesce(text, '')) AS t FROM documents GROUP BY 1) SELECT chunk_id, CASE WHEN i % 10 = 0 THEN 'missing' WHEN i % 10 = 1 AND t <> '' THEN 'length_mismatch' WHEN i % 10 = 2 AND octet_length(encode(t)) <> octet_length(encode('#' || substr(t, 2))) THEN 'length_mismatch' WHEN i % 10 = 2 AND t <> '#' || substr(t, 2) THEN 'hash_mismatch' ELSE 'ok' END AS outcome FROM w",
@@ -265,5 +265,12 @@ QUERIES = {
     "packed_refs": (packed_refs, with_sql("refs") + ", i AS (SELECT snapshot_id, sha256(CAST(chunk_id AS VARCHAR)) AS chunk_id FROM refs) SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY chunk_id) - 1 AS seq, chunk_id FROM i"),
     "cdc_fanout": (cdc_fanout, None),
     "cdc_report": (cdc_report, None),
-    "upload_batches": (upload_batches, None),
+    "upload_batches": (
+        upload_batches,
+        with_sql("events_").replace("WITH ", "WITH RECURSIVE ", 1)
+        + """, l AS (SELECT user_id, event_id AS seq, CAST(abs(round(value)) AS BIGINT) AS len, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events_),
+f AS (SELECT user_id, seq, len, k, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS n, len AS size FROM l WHERE k = 1
+UNION ALL SELECT l.user_id, l.seq, l.len, l.k, f.batch + CASE WHEN f.n >= 8 OR f.size >= 300 THEN 1 ELSE 0 END, CASE WHEN f.n >= 8 OR f.size >= 300 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 8 OR f.size >= 300 THEN l.len ELSE f.size + l.len END FROM f JOIN l ON l.user_id = f.user_id AND l.k = f.k + 1)
+SELECT CAST(user_id AS VARCHAR) AS root, seq, len, batch FROM f""",
+    ),
 }

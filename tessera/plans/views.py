@@ -15,9 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows anew where a table has too few parts to keep the cores busy, as one small file has; else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    """Deals rows anew where a table comes in one part, as a small single file does; all else stays as it is stored."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 def _ms(column: str):
@@ -55,11 +54,11 @@ def files(spark, d) -> DataFrame:
 
 
 def tree(spark, d, side: str) -> DataFrame:
-    """Two versions of the documents: the current one lacks a tenth and alters a tenth of the baseline's."""
+    """All documents, or two versions of them: `current` lacks a tenth and alters a tenth of the `baseline`."""
     docs = spread(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     if side == "current":
         docs = docs.filter("doc_id % 10 <> 0").withColumn("text", F.when(F.col("doc_id") % 10 == 1, F.concat(F.col("text"), F.lit(" "), F.col("doc_id").cast("string"))).otherwise(F.col("text")))
-    else:
+    elif side == "baseline":
         docs = docs.filter("doc_id % 10 <> 9")
     return docs.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), "text")
 
@@ -76,6 +75,7 @@ SELECT lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) || '.' || (['txt'
 UNION ALL SELECT 'pages/' || CAST(page_id AS VARCHAR) || '.html', html FROM pages
 UNION ALL SELECT 'talks/' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), text FROM conversations))""",
     "current_tree": "current_tree AS (SELECT 'd/' || CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') || CASE WHEN doc_id % 10 = 1 THEN ' ' || CAST(doc_id AS VARCHAR) ELSE '' END AS text FROM documents WHERE doc_id % 10 <> 0)",
+    "all_tree": "all_tree AS (SELECT 'd/' || CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS text FROM documents)",
     "baseline_tree": "baseline_tree AS (SELECT 'd/' || CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS text FROM documents WHERE doc_id % 10 <> 9)",
 }
 
