@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import chunking, dedup, policy, restore, retention
 from tessera.operators import store as S
-from tessera.sources.tree import read_tree
+from tessera.sources.tree import dealt, opener, read_tree
 
 TABLES = {
     "chunks": "chunk_id string, chunk_len long, data binary",
@@ -75,12 +75,12 @@ class Archive:
         """
         snapshot_id = new_id(now_ms)
         held = self.table("snapshots")
-        incremental = not (held if owner is None else held.filter(F.col("owner") == owner)).isEmpty()
+        incremental = not held.isEmpty()  # of any owner: their chunks serve all
         chosen = next(p for p in policy.POLICIES if p.name == codec)
         staging = f"{self.path}/_staging/{uuid.uuid4().hex}"
-        chunking.chunked(read_tree(self.spark, *roots), [target], with_data=True).write.parquet(staging)
-        chunks = self.spark.read.parquet(staging)
         files = read_tree(self.spark, *roots, content=False)
+        chunking.streamed(dealt(files), opener(tuple(roots)), [target], with_data=True).write.parquet(staging)
+        chunks = self.spark.read.parquet(staging)
         ledger = dedup.ledger(files, chunks, self.table("chunks")).first().asDict()
 
         def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

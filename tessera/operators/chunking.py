@@ -2,19 +2,19 @@
 
 The byte kernel is a gear-hash chunker with normalised cut probability: below the target size a cut needs more zero
 bits of the rolling hash than above it. The hash at a byte depends on the last 64 bytes only, so it is computed for
-all places at once; only the places whose hash may cut are then walked in order.
+all places at once; only the places whose hash may cut are then walked in order. Files are read and cut block by block.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.schemas import CHUNKS, MAX_CHUNK
@@ -53,37 +53,85 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return out
 
 
+class Stream:
+    """Cuts bytes as they come, for several configs from one pass of hashing.
+
+    feed() and close() give, for each config, the (start, end) of the chunks that are decided. A chunk is decided once
+    as many bytes are there as it can have at most, so no more than one largest chunk and a block are ever held.
+    """
+
+    def __init__(self, configs: list[Config], keep: bool = True):
+        self.configs, self.keep = configs, keep
+        self.bits = [max(1, c.target.bit_length() - 1) for c in configs]
+        self.loosest = min(self.bits) - 1
+        self.size = self.base = 0
+        self.tail, self.held = np.zeros(0, np.uint8), bytearray()
+        self.starts = [0] * len(configs)
+        none = np.zeros(0, np.int64)
+        self.hard, self.easy = [none] * len(configs), [none] * len(configs)
+
+    def feed(self, data: bytes) -> list[list[tuple[int, int]]]:
+        raw = np.concatenate((self.tail, np.frombuffer(data, np.uint8)))
+        lead = len(self.tail)
+        h = rolling(raw)[lead:]
+        hit = np.flatnonzero(h >> np.uint64(64 - self.loosest) == 0)
+        value, end = h[hit], hit + self.size + 1
+        for k, b in enumerate(self.bits):
+            self.hard[k] = np.concatenate((self.hard[k], end[value >> np.uint64(64 - b - 1) == 0]))
+            self.easy[k] = np.concatenate((self.easy[k], end[value >> np.uint64(64 - b + 1) == 0] if b > 1 else end))
+        self.size += len(data)
+        self.tail = raw[-63:].copy()
+        if self.keep:
+            self.held += data
+        return self._decide(False)
+
+    def close(self) -> list[list[tuple[int, int]]]:
+        return self._decide(True)
+
+    def bytes(self, start: int, end: int) -> bytes:
+        """The bytes of a chunk that the last call gave."""
+        return bytes(self.held[start - self.base : end - self.base])
+
+    def trim(self) -> None:
+        """Lets go of what lies before all configs' next chunks."""
+        least = min(self.starts)
+        del self.held[: least - self.base]
+        self.base = least
+
+    def _decide(self, last: bool) -> list[list[tuple[int, int]]]:
+        out = []
+        for k, c in enumerate(self.configs):
+            spans, start, hard, easy = [], self.starts[k], self.hard[k], self.easy[k]
+            while start + c.max <= self.size or (last and start < self.size):
+                end = self._end(c, start, hard, easy)
+                spans.append((start, end))
+                start = end
+            self.starts[k] = start
+            self.hard[k], self.easy[k] = hard[np.searchsorted(hard, start) :], easy[np.searchsorted(easy, start) :]
+            out.append(spans)
+        return out
+
+    def _end(self, c: Config, start: int, hard: np.ndarray, easy: np.ndarray) -> int:
+        middle, most = start + c.target, min(start + c.max, self.size)
+        i = np.searchsorted(hard, start + max(c.min, 1))
+        if i < len(hard) and hard[i] <= min(middle, most):
+            return int(hard[i])
+        if middle < most:
+            j = np.searchsorted(easy, middle + 1)
+            if j < len(easy) and easy[j] < most:
+                return int(easy[j])
+        return most
+
+
 def cuts(data: bytes, configs: list[Config]) -> list[list[int]]:
     """The end of every chunk, for each config, from one pass of hashing."""
-    raw, size = np.frombuffer(data, np.uint8), len(data)
-    bits = [max(1, c.target.bit_length() - 1) for c in configs]
-    loosest = min(bits) - 1
-    places, values = [], []
-    for start in range(0, size, _SEGMENT):
-        lead = min(start, 63)
-        h = rolling(raw[start - lead : start + _SEGMENT])[lead:]
-        hit = np.flatnonzero(h >> np.uint64(64 - loosest) == 0)
-        places.append(hit + start)
-        values.append(h[hit])
-    at, value = (np.concatenate(places), np.concatenate(values)) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    out = []
-    for c, b in zip(configs, bits, strict=True):
-        hard = at[value >> np.uint64(64 - b - 1) == 0] + 1
-        easy = at[value >> np.uint64(64 - b + 1) == 0] + 1 if b > 1 else at + 1
-        ends, start = [], 0
-        while start < size:
-            middle, last = start + c.target, min(start + c.max, size)
-            end = last
-            i = np.searchsorted(hard, start + max(c.min, 1))
-            if i < len(hard) and hard[i] <= min(middle, last):
-                end = int(hard[i])
-            elif middle < last:
-                j = np.searchsorted(easy, middle + 1)
-                if j < len(easy) and easy[j] < last:
-                    end = int(easy[j])
-            ends.append(end)
-            start = end
-        out.append(ends)
+    stream = Stream(configs, keep=False)
+    out: list[list[int]] = [[] for _ in configs]
+    for start in range(0, len(data), _SEGMENT):
+        for ends, spans in zip(out, stream.feed(data[start : start + _SEGMENT]), strict=True):
+            ends += [b for _, b in spans]
+    for ends, spans in zip(out, stream.close(), strict=True):
+        ends += [b for _, b in spans]
     return out
 
 
@@ -124,6 +172,36 @@ def chunked(files: DataFrame, targets: list[int], key: bytes | None = None, with
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, schema)
 
 
+def streamed(files: DataFrame, open_: Callable[[str], BinaryIO], targets: list[int], key: bytes | None = None, with_data: bool = False) -> DataFrame:
+    """The chunks of files that tasks open and read block by block, so a file of any size fits. files: path.
+
+    open_ gives a file to read for a path; the rows are those of chunked().
+    """
+    configs = [Config.of(t) for t in targets]
+    names = [f.name for f in CHUNKS.fields] + ["data"] * with_data
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_data
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                stream, counts, more = Stream(configs), [0] * len(configs), True
+                with open_(path) as f:
+                    while more:
+                        block = f.read(_SEGMENT)
+                        more, rows = bool(block), []
+                        for k, spans in enumerate(stream.feed(block) if block else stream.close()):
+                            for a, b in spans:
+                                data = stream.bytes(a, b)
+                                rows.append((path, configs[k].target, counts[k], a, b - a, _id(data, key), *([data] if with_data else ())))
+                                counts[k] += 1
+                        stream.trim()
+                        if rows:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CHUNKS.fields) + ", data binary" * with_data
+    return files.select("path").mapInArrow(run, schema)
+
+
 def threshold(rate: int) -> str:
     """The hex digits that one hash in `rate` is below."""
     return f"{(1 << 32) // rate:08x}"
@@ -146,8 +224,3 @@ def word_chunks(texts: DataFrame, *rates: int) -> DataFrame:
     body = F.array_join(F.slice("w", start + 1, F.col("stop") - start), " ")
     rows = rows.select(F.col("rate").alias("target_size"), "path", "seq", body.alias("body"))
     return rows.select("target_size", "path", F.col("seq").cast("long").alias("seq"), F.md5("body").alias("chunk_id"), F.octet_length("body").cast("long").alias("len"))
-
-
-def numbered(chunks: DataFrame) -> DataFrame:
-    """Adds each chunk's place in its file as a running number."""
-    return chunks.withColumn("n", F.row_number().over(W.partitionBy("path").orderBy("seq")))

@@ -198,10 +198,11 @@ def token_spend(s, d):
 
 
 def phase_detection(s, d):
-    """Initial for owners without a snapshot, else incremental."""
-    owners = V.table(s, d, "customer").select(F.col("c_custkey").alias("owner"))
-    any_ = V.snapshots(s, d).select("owner").distinct().withColumn("had", F.lit(True))
-    return owners.join(any_, "owner", "left").groupBy(F.when(F.col("had"), "incremental").otherwise("initial").alias("phase")).agg(F.count("*").alias("owners"))
+    """For stores that hold other parts of the snapshots: initial for a store without any, whoever owns them, else incremental."""
+    rows = V.snapshots(s, d).select((F.col("snapshot_id") % 3).alias("store"))
+    stores = s.range(5).select(F.col("id").alias("store"))
+    any_ = rows.distinct().withColumn("had", F.lit(True))
+    return stores.join(any_, "store", "left").select("store", F.when(F.col("had"), "incremental").otherwise("initial").alias("phase"))
 
 
 def progress_throttle(s, d):
@@ -295,7 +296,7 @@ SELECT chunk_id, marked AS marked_ms, swept AS swept_ms FROM f WHERE r = 7""",
         token_spend,
         "SELECT event_id AS pos, event_id % 97 AS token, event_id % 97 < 80 AND event_id = min(event_id) OVER (PARTITION BY event_id % 97) AS spent FROM events",
     ),
-    "phase_detection": (phase_detection, "SELECT CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'incremental' ELSE 'initial' END AS phase, count(*) AS owners FROM customer GROUP BY 1"),
+    "phase_detection": (phase_detection, with_sql("snapshots") + " SELECT i AS store, CASE WHEN i IN (SELECT snapshot_id % 3 FROM snapshots) THEN 'incremental' ELSE 'initial' END AS phase FROM range(5) t(i)"),
     "progress_throttle": (
         progress_throttle,
         "WITH RECURSIVE t AS (SELECT user_id AS run, (epoch_us(ts) // 1000) AS at_ms FROM events), f AS (SELECT run, min(at_ms) AS at_ms FROM t GROUP BY run UNION ALL SELECT f.run, (SELECT min(t.at_ms) FROM t WHERE t.run = f.run AND t.at_ms - f.at_ms >= 21600000) FROM f WHERE f.at_ms IS NOT NULL), g AS (SELECT run, at_ms FROM f WHERE at_ms IS NOT NULL UNION SELECT run, max(at_ms) FROM t GROUP BY run) SELECT run, count(*) AS shown, max(at_ms) AS last_ms FROM g GROUP BY run",

@@ -39,6 +39,54 @@ def test_small_and_empty():
     assert chunking.chunk_bytes(b"abc", config, b"key")[0][2] != chunking.chunk_bytes(b"abc", config)[0][2]
 
 
+def _by_definition(data, config):
+    """The chunker one byte at a time."""
+    bits, ends, start = max(1, config.target.bit_length() - 1), [], 0
+    hashes = [int(h) for h in chunking.rolling(chunking.np.frombuffer(data, chunking.np.uint8))]
+    while start < len(data):
+        end = min(start + config.max, len(data))
+        for place in range(start + config.min, end):
+            zeros = bits + 1 if place <= start + config.target else bits - 1
+            if hashes[place - 1] >> (64 - zeros) == 0:
+                end = place
+                break
+        ends.append(end)
+        start = end
+    return ends
+
+
+@pytest.mark.parametrize("block", [1, 63, 1000, 10**6])
+def test_streamed_cuts_are_those_of_the_whole(block):
+    data = DATA[:20_000] if block == 1 else DATA
+    configs = [chunking.Config.of(t) for t in (256, 1024, 4096)]
+    stream = chunking.Stream(configs)
+    got = [[] for _ in configs]
+    most = 0
+    for start in [*range(0, len(data), block), None]:
+        for k, spans in enumerate(stream.close() if start is None else stream.feed(data[start : start + block])):
+            got[k] += [(a, b, stream.bytes(a, b)) for a, b in spans]
+        stream.trim()
+        most = max(most, len(stream.held))
+    for config, spans in zip(configs, got, strict=True):
+        assert [b for _, b, _ in spans] == chunking.cuts(data, [config])[0] == _by_definition(data, config)
+        assert b"".join(x for _, _, x in spans) == data
+    assert most <= 16384 + block
+
+
+def test_files_are_chunked_as_they_are_read(spark, tmp_path):
+    from tessera.sources.tree import dealt, opener, read_tree
+
+    root = tmp_path / "data"
+    (root / "sub").mkdir(parents=True)
+    (root / "a").write_bytes(DATA)
+    (root / "sub/b").write_bytes(DATA[7:])
+    (root / "none").write_bytes(b"")
+    rows = lambda df: sorted((r.path, r.target_size, r.seq, r.offset, r.len, r.chunk_id, bytes(r.data)) for r in df.collect())
+    files = read_tree(spark, str(root), content=False)
+    whole = rows(chunking.chunked(read_tree(spark, str(root)), [512, 4096], with_data=True))
+    assert rows(chunking.streamed(dealt(files), opener((str(root),)), [512, 4096], with_data=True)) == whole
+
+
 def test_segments_do_not_move_cuts(monkeypatch):
     config = chunking.Config.of(1024)
     whole = chunking.cuts(DATA, [config])
@@ -116,7 +164,7 @@ def test_codec_choice():
     text, noise = b"the quick brown fox jumps over the lazy dog. " * 200, DATA[:9000]
     by = {p.name: p for p in policy.POLICIES}
     assert policy.choose(text, by["zstd3"], False)[0] == policy.ZSTD
-    assert policy.choose(noise, by["zstd3"], False)[:3] == (policy.RAW, 9000, True)
+    assert policy.choose(noise, by["zstd3"], False)[:3] == (policy.RAW, 9000, False)
     assert policy.choose(noise, by["probe"], False)[:3] == (policy.RAW, 9000, False)
     assert policy.choose(noise, by["zstd3-always"], False)[0] == policy.ZSTD
     assert policy.choose(text, by["raw-only"], False)[0] == policy.RAW
@@ -168,6 +216,13 @@ def test_tree_source_and_restore(spark, tmp_path):
     assert sorted(rows) == [".hid/c", "_b.txt", "a.txt", "sub/empty.bin"]
     assert (rows["a.txt"].mtime_secs, rows["a.txt"].mtime_nanos) == (-2, 500_000_000)
     assert tuple(totals(read_tree(spark, str(root), content=False)).first()) == (4, 4)
+    from tessera.sources import tree
+
+    before, tree.DIRECTORIES = tree.DIRECTORIES, 1  # the driver looks at the root only, tasks at the rest
+    try:
+        assert sorted(r.path for r in read_tree(spark, str(root), content=False).collect()) == sorted(rows)
+    finally:
+        tree.DIRECTORIES = before
     other = tmp_path / "more"
     other.mkdir()
     (other / "x").write_bytes(b"x")
@@ -182,8 +237,8 @@ def test_tree_source_and_restore(spark, tmp_path):
 
 def test_two_orders(spark):
     files = spark.createDataFrame([("a/x",), ("a.txt",)], "path string")
-    assert [r.path for r in dedup.by_path(files).collect()] == ["a.txt", "a/x"]
-    assert [r.path for r in dedup.by_directory(files).collect()] == ["a/x", "a.txt"]
+    got = {r.path: (r.by_path, r.by_directory) for r in dedup.places(files.withColumn("root", F.lit("r"))).collect()}
+    assert got == {"a.txt": (1, 2), "a/x": (2, 1)}
 
 
 def test_streamed_uploads_are_kept_once(spark, tmp_path):
@@ -202,6 +257,8 @@ def test_schedule(spark):
     from tessera.streaming import upkeep
 
     draws = spark.createDataFrame([(1, 0.5), (2, 1.0), (3, 0.0)], "n int, draw double")
+    many = upkeep.run_times(0, 10, 0.0, spark.range(1, 3001).select(F.col("id").alias("n"), F.lit(0.5).alias("draw")))
+    assert many.agg(F.max("run_ms"), F.count("*")).first() == (2999 * 10_000, 3000)
     assert [r.run_ms for r in upkeep.run_times(1000, 10, 0.1, draws).orderBy("n").collect()] == [1000, 11000, 22000]
 
 
