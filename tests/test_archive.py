@@ -68,6 +68,16 @@ def test_report_over_folders(spark, tree, tmp_path):
     assert row["total_bytes"] == got["dataset_bytes"] == 300_014
     assert [p["policy"] for p in got["policies"]][0] == "raw-only"
     assert json.loads(report.as_json(got))["snapshots"] == 36
+    assert set(got["rates"]) == {"read", "cdc", "hash", "seal"} and all(r > 0 for r in got["rates"].values())
+    assert {p["churn_source"] for p in got["policies"]} == {"measured"} and got["recommended_policy"]
+    assert all(p["incremental_bytes"] == 0 and p["incremental_seconds"] == p["scan_seconds"] for p in got["policies"])
+    assert sum(c["bytes_in"] for c in got["classes"]) == row["unique_bytes"]
+    text = report.as_text(got)
+    assert "4K" in text and "<- recommended" in text and "overlap %" in text and "raw-only" in text
+    assumed = report.sizing_report(spark, str(tree), (4096,), compression=True, churn_pct=10.0)["policies"]
+    assert all(p["churn_source"] == "assumed" and p["incremental_bytes"] == round(row["unique_bytes"] * 0.1) for p in assumed)
+    unknown = report.sizing_report(spark, str(tree), (4096,), compression=True)["policies"]
+    assert all(p["churn_source"] is None and p["incremental_bytes"] is None for p in unknown)
     with pytest.raises(ValueError):
         report.sizing_report(spark, str(tree), (4096, 8192), compression=True)
 
@@ -84,6 +94,55 @@ def test_commands(spark, tree, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["snapshots"] == 1
 
 
+def test_scheduled_backups(spark, tree, tmp_path, capsys):
+    from tessera.__main__ import main
+
+    store = str(tmp_path / "store")
+    main(["run", "--store", store, str(tree), "--target-size", "64K", "--interval", "0.01", "--runs", "2"])
+    ticks = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [t["error"] for t in ticks] == [None, None] and ticks[1]["result"]["upload_bytes"] == 0
+
+
+def test_a_failing_run_does_not_end_the_loop():
+    from tessera.streaming import upkeep
+
+    at, slept, seen = [1000], [], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        at[0] += int(seconds * 1000)
+
+    def job(now):
+        if len(seen) == 1:
+            raise OSError("away")
+        return now
+
+    assert upkeep.run_loop(job, 10, 0.1, seen.append, runs=4, now_ms=lambda: at[0], sleep=sleep, draw=lambda: 1.0) == 4
+    assert [t["started_ms"] for t in seen] == [1000, 12000, 23000, 34000] and [t["error"] for t in seen] == [None, "away", None, None]
+    assert upkeep.prune_daily(lambda now: now, seen.append, sleep=lambda s: slept.append(s) or len(slept) > 4) == 1
+    assert slept[-1] == 86_400.0
+    with pytest.raises(ValueError):
+        upkeep.run_loop(job, 0)
+
+
+def test_prune_after_commits(spark, tmp_path):
+    """Each batch of commits is followed by a prune; one that fails is reported and the stream goes on."""
+    from tessera.streaming import upkeep
+
+    source, calls = str(tmp_path / "in"), []
+    for k in range(3):
+        spark.createDataFrame([(k,)], "snapshot_id long").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("snapshot_id long").option("maxFilesPerTrigger", 1).parquet(source)
+
+    def prune(batch, number):
+        calls.append((number, batch.count()))
+        if number == 1:
+            raise OSError("away")
+
+    upkeep.pruned_after(stream, prune, str(tmp_path / "ck")).awaitTermination()
+    assert calls == [(0, 1), (1, 1), (2, 1)]
+
+
 def test_settings(tmp_path):
     path = tmp_path / "c.toml"
     assert config.load(str(path), config.CLIENT) == {}
