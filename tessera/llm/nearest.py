@@ -2,25 +2,32 @@
 
 On a bounded sample the neighbour graph is built and cut into parts of equal size, half by half: each half is found
 along the graph's slowest mode of smoothing and then improved by exchanging vertices. A small network with one hidden
-layer learns in which parts a vector's neighbours, itself among them, are found. It puts every indexed row into its most probable part and sends every
-query to the most probable parts, until their probability reaches a level; the level is the least at which queries
-kept out of the fit find `TARGET` of their neighbours in the sample. Candidates of those parts are ranked by the exact
-inner product in double precision; what a query's last nearest row in the sample scores is a floor that spares rows.
+layer learns in which parts a vector's neighbours, itself among them, are found. It puts every indexed row into its most
+probable part and sends every query to the most probable parts, until their probability reaches a level; the level is
+the least at which queries kept out of the fit find `TARGET` of their neighbours in the sample. Candidates of those
+parts, and no others, are ranked by the exact inner product in double precision.
 
-A part's rows and queries are dealt into blocks of bounded size, and each block of rows meets each block of the
-queries sent to its part, so a vector that a third of all rows share fills blocks, not a task.
+One network has at most `FAN` parts. Parts of more than `SPLIT_ROWS` rows get a sample, a graph and a network of their
+own, in a task, and are divided by it in turn, so the parts grow in number with the rows and not in size. Each fit uses
+about `SAMPLE_ROWS` rows and `SAMPLE_QUERIES` more for the level, chosen by a hash of the id; of several networks in
+turn each has to find the root of `TARGET`.
 
-Fitting uses at most `SAMPLE_ROWS` rows and `SAMPLE_QUERIES` more for the level, chosen by a hash of the id.
+Equal vectors score alike, and ties go to the smaller id, so of equal vectors the `nearest` + 1 of least id are all
+that any query can be answered with (one may be the query's own); only these are indexed, which loses no answer, and
+equal queries are searched once. What is still large in a part meets in blocks of rows and of queries.
 
 Defined results: vectors null, zero, holding null or non-finite components, of another length than most, or without an
 id take no part; rows of one vec_id count as one, with the score of the nearest, and never answer their own query; a
-query with fewer candidates gets them all; an empty table or a single vector gives no rows; other columns are ignored.
+query with fewer candidates gets them all, and one whose parts hold too few is sent on until they hold enough; an empty
+table or a single vector gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import math
+import pickle
+from collections.abc import Callable, Iterator
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._cluster import checkpoint
+from tessera.llm._cluster import bounded_batches, checkpoint, salted_join, small
 
 SAMPLE_ROWS = 8192
 SAMPLE_QUERIES = 512
@@ -38,8 +45,12 @@ TARGET = 0.95
 NEAREST = 20
 QUERY_EVERY = 20
 ROWS_PER_PART = 1500
-MOST_PARTS = 128
-BLOCK_ROWS = 4096
+FAN = 64
+SPLIT_ROWS = 2 * FAN * ROWS_PER_PART
+#: Rows that one task places by one network.
+SLICE_ROWS = 16_384
+BESIDE = 8
+BLOCK_ROWS = 16_384
 BLOCK_QUERIES = 1024
 
 
@@ -182,134 +193,183 @@ def fit(x: np.ndarray, queries: np.ndarray, parts: int, target: float = TARGET,
     return router
 
 
-def _once(sample: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One vector of each id, so that a floor counts no row twice."""
-    kept = np.unique(ids, return_index=True)[1]
-    return sample[kept], ids[kept]
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64, copy=False)
 
 
-def indexed(rows: DataFrame, router: Router) -> DataFrame:
-    """Adds the part of every row."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                part = router.logits(_matrix(batch.column("embedding"))).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], [*batch.schema.names, "part"])
-
-    return rows.mapInArrow(place, "vec_id long, embedding array<double>, part int")
-
-
-def floors(queries: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, nearest: int) -> np.ndarray:
-    """What each query's last nearest row scores at least: the sample's rows are candidates too."""
-    out = np.full(len(queries), -np.inf)
-    if len(sample) > nearest:
-        for i in range(0, len(queries), 256):
-            score = queries[i : i + 256] @ sample.T
-            score[ids[i : i + 256, None] == sample_ids[None, :]] = -np.inf
-            out[i : i + 256] = np.partition(score, len(sample) - nearest, axis=1)[:, len(sample) - nearest]
-    return out
-
-
-def in_sample(queries: DataFrame, sample: np.ndarray, sample_ids: np.ndarray, nearest: int = NEAREST) -> DataFrame:
-    """query_id, vec_id, score of the nearest rows of the sample, so that what a floor spares leaves no query short."""
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                found = _best(_matrix(batch.column("embedding")), batch.column("vec_id").to_numpy(), np.full(batch.num_rows, -np.inf), sample, sample_ids, nearest)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
-
-    return queries.mapInArrow(rank, "query_id long, vec_id long, score double")
-
-
-def routed(queries: DataFrame, router: Router, sizes: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, nearest: int = NEAREST) -> DataFrame:
-    """A row for each part that a query is sent to, with its floor; parts follow until they also hold enough rows."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("embedding"))
-            low = floors(x, batch.column("vec_id").to_numpy(), sample, sample_ids, nearest)
-            p = router.probabilities(x)
-            order = np.argsort(-p, axis=1, kind="stable")
-            sorted_ = np.take_along_axis(p, order, axis=1)
-            held = sizes[order]
-            go = (np.cumsum(sorted_, axis=1) - sorted_ < router.level) | (np.cumsum(held, axis=1) - held <= nearest)
-            row, at = np.nonzero(go & (held > 0))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), batch.column("embedding").take(pa.array(row)), pa.array(order[row, at].astype(np.int32)), pa.array(low[row])], ["vec_id", "embedding", "part", "floor"])
-
-    return queries.mapInArrow(send, "vec_id long, embedding array<double>, part int, floor double")
-
-
-def _best(q: np.ndarray, qid: np.ndarray, low: np.ndarray, c: np.ndarray, cid: np.ndarray, nearest: int) -> list[np.ndarray]:
-    """Query ids, row ids and scores of the nearest rows that reach each query's floor, ties to the smaller id."""
+def _best(q: np.ndarray, ask: np.ndarray, c: np.ndarray, cid: np.ndarray, most: int) -> list[np.ndarray]:
+    """Asks, row ids and scores of the nearest rows, ties to the smaller id; an id counts once, by its best row."""
     found: list[list[np.ndarray]] = [[], [], []]
+    order = np.argsort(cid, kind="stable")
+    c, cid = c[order], cid[order]
+    first = np.flatnonzero(np.concatenate(([True], cid[1:] != cid[:-1]))) if len(cid) else np.zeros(0, np.int64)
     for i in range(0, len(q) if len(c) else 0, 256):
         score = q[i : i + 256] @ c.T
-        score[qid[i : i + 256, None] == cid[None, :]] = -np.inf
-        k = min(nearest, len(c))
-        least = np.maximum(low[i : i + 256], np.partition(score, len(c) - k, axis=1)[:, len(c) - k])
+        by_id = score if len(first) == len(cid) else np.maximum.reduceat(score, first, axis=1)
+        k = min(most, len(first))
+        least = np.partition(by_id, len(first) - k, axis=1)[:, len(first) - k]
         # rounding differs by place in a block: near ties come along and are scored anew, each in the same way
-        row, col = np.nonzero((score >= (least - 1e-9 * np.maximum(1, np.abs(least)))[:, None]) & (score > -np.inf))
+        row, col = np.nonzero(score >= (least - 1e-9 * np.maximum(1, np.abs(least)))[:, None])
         exact = np.einsum("ij,ij->i", q[i + row], c[col])
+        order = np.lexsort((-exact, cid[col], row))
+        row, col, exact = row[order], col[order], exact[order]
+        once = np.concatenate(([True], (row[1:] != row[:-1]) | (cid[col[1:]] != cid[col[:-1]])))
+        row, col, exact = row[once], col[once], exact[once]
         order = np.lexsort((cid[col], -exact, row))
         row, col, exact = row[order], col[order], exact[order]
-        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
-        rank = np.arange(len(row)) - np.repeat(first, np.diff(np.concatenate((first, [len(row)]))))
-        keep = rank < nearest
-        for out, values in zip(found, (qid[i + row[keep]], cid[col[keep]], exact[keep]), strict=True):
+        starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        keep = np.arange(len(row)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(row)])))) < most
+        for out, values in zip(found, (ask[i + row[keep]], cid[col[keep]], exact[keep]), strict=True):
             out.append(values)
     return [np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(found, (np.int64, np.int64, np.float64), strict=True)]
 
 
-def _ranked(table: pa.Table, nearest: int) -> pa.Table:
-    """The nearest rows of a block for each query of a block."""
+def _ranked(table: pa.Table, most: int) -> pa.Table:
+    """The nearest rows of some parts for each query of a block, of those parts that it is sent to."""
     asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-    ids = table.column("vec_id").to_numpy()
+    ids, part = table.column("id").to_numpy(), table.column("part").to_numpy()
     x = _matrix(table.column("embedding").combine_chunks())
-    low = table.column("floor").to_numpy(zero_copy_only=False)[asks]
-    return pa.table(_best(x[asks], ids[asks], low, x[~asks], ids[~asks], nearest), names=["query_id", "vec_id", "score"])
+    found = [_best(x[q], ids[q], x[c], ids[c], most) for p in np.unique(part[asks]) for q, c in ((asks & (part == p), ~asks & (part == p)),)]
+    ask, vec_id, score = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    order = np.lexsort((-score, vec_id, ask))  # an id may be in several parts
+    ask, vec_id, score = ask[order], vec_id[order], score[order]
+    once = np.ones(len(ask), bool)
+    once[1:] = (ask[1:] != ask[:-1]) | (vec_id[1:] != vec_id[:-1])
+    ask, vec_id, score = ask[once], vec_id[once], score[once]
+    order = np.lexsort((vec_id, -score, ask))
+    ask, vec_id, score = ask[order], vec_id[order], score[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(ask)), bool), ask[1:] != ask[:-1])))
+    keep = np.arange(len(ask)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(ask)])))) < most
+    return pa.table([ask[keep], vec_id[keep], score[keep]], names=["ask", "vec_id", "score"])
+
+
+def parts_for(rows: int) -> int:
+    """How many parts one network divides so many rows into; a power of two."""
+    return 2 ** int(np.clip(np.round(np.log2(max(1, rows) / ROWS_PER_PART)), 2, np.log2(FAN)))
+
+
+def _trained(nearest: int, target: float, parts: int | None) -> Callable[[pa.Table], pa.Table]:
+    """Makes the network of a part from its sample."""
+
+    def train(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by([("id", "ascending"), ("nth", "ascending")])
+        x = _matrix(sample.column("embedding").combine_chunks())
+        # a hash dealt the rows, so any of them can be the queries; ids that are close may be related
+        mixed = np.random.default_rng(5).permutation(len(x))
+        apart = min(SAMPLE_QUERIES, len(x) // 5)
+        router = fit(x[mixed[apart:]], x[mixed[:apart]], parts or parts_for(sample.column("n")[0].as_py()), target, nearest)
+        return pa.table({"part": sample.column("part").slice(0, 1), "model": pa.array([pickle.dumps(astuple(router))], pa.binary())})
+
+    return train
+
+
+def _placed(rows: pa.Table, models: pa.Table) -> pa.Table:
+    """The rows with the part inside their part that is most probable."""
+    if rows.num_rows and models.num_rows:
+        router = Router(*pickle.loads(models.column("model")[0].as_py()))
+        child = router.logits(_matrix(rows.column("embedding").combine_chunks())).argmax(axis=1)
+        part = rows.column("part").to_numpy() * (FAN + 1) + child + 1
+    else:
+        rows, part = rows.slice(0, 0), np.zeros(0, np.int64)
+    return pa.table({"id": rows.column("id"), "embedding": rows.column("embedding"), "part": pa.array(part)})
+
+
+def _sent(enough: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The queries with each part inside their part that they are sent to."""
+
+    def send(asks: pa.Table, models: pa.Table) -> pa.Table:
+        if not asks.num_rows or not models.num_rows:
+            return pa.table({"id": asks.column("id").slice(0, 0), "embedding": asks.column("embedding").slice(0, 0), "part": pa.array([], pa.int64())})
+        router = Router(*pickle.loads(models.column("model")[0].as_py()))
+        p = router.probabilities(_matrix(asks.column("embedding").combine_chunks()))
+        sizes, above = np.zeros(p.shape[1], np.int64), int(asks.column("part")[0].as_py()) * (FAN + 1) + 1
+        for held in models.column("sizes")[0].as_py():
+            sizes[held["part"] - above] = held["ids"]
+        order = np.argsort(-p, axis=1, kind="stable")
+        ranked, held = np.take_along_axis(p, order, axis=1), sizes[order]
+        go = (np.cumsum(ranked, axis=1) - ranked < router.level) | (np.cumsum(held, axis=1) - held < enough)
+        row, at = np.nonzero(go)
+        return pa.table({"id": asks.column("id").take(pa.array(row)), "embedding": asks.column("embedding").take(pa.array(row)), "part": pa.array(above + order[row, at])})
+
+    return send
+
+
+def _dealt(rows: DataFrame, counts: DataFrame, models: DataFrame, tell: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    """Applies the network of each part to its rows, some at a time. counts: part, n."""
+    slices = F.ceil(F.col("n") / SLICE_ROWS)
+    mine = rows.join(counts, "part").withColumn("slice", F.pmod(F.xxhash64("id", F.lit("slice")), slices)).drop("n")
+    copies = models.join(counts, "part").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).drop("n")
+    return mine.groupBy("part", "slice").cogroup(copies.groupBy("part", "slice")).applyInArrow(tell, "id long, embedding array<double>, part long")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """part and n (rows) of each part, marked for a broadcast if they are few."""
+    counts = checkpoint(rows.groupBy("part").agg(F.count("*").alias("n")))
+    return small(counts, counts.count())
+
+
+def indexed(rows: DataFrame, asks: DataFrame, total: int, nearest: int = NEAREST, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, embedding) with their part, and the queries once for each part that they are sent to."""
+    levels = 1 + max(0, math.ceil(math.log(max(1.0, total / SPLIT_ROWS), FAN)))
+    target = TARGET ** (1 / levels)
+    placed, sent = (df.withColumn("part", F.lit(0).cast("long")) for df in (rows, asks))
+    for level in range(levels + 1):  # one more for parts that turn out larger
+        counts = checkpoint(placed.groupBy("part").agg(F.count("*").alias("n")).filter((F.col("n") > (SPLIT_ROWS if level else 1)) & (F.col("part") >= (FAN + 1) ** (level - 1) if level else F.lit(True))))
+        several = counts.count()
+        if not several:
+            break
+        few = small(counts, several)
+        chosen = placed.join(few, "part").filter(F.pmod(F.xxhash64("id", F.lit(level)), "n") < SAMPLE_ROWS + SAMPLE_QUERIES)
+        models = checkpoint(chosen.withColumn("nth", F.xxhash64("embedding")).groupBy("part").applyInArrow(_trained(nearest, target, parts), "part long, model binary"))
+        fresh = checkpoint(_dealt(placed, few, models, _placed))
+        # an id in several parts counts in the first only, so that the parts sent to surely hold so many
+        by_id = fresh.groupBy("id").agg(F.min("part").alias("part")).groupBy("part").agg(F.count("*").alias("ids"))
+        sizes = by_id.groupBy(F.floor((F.col("part") - 1) / (FAN + 1)).alias("above")).agg(F.collect_list(F.struct("part", "ids")).alias("sizes")).withColumnRenamed("above", "part")  # at most FAN
+        asking = sent.join(few.select("part"), "part", "left_semi")
+        on = checkpoint(_dealt(asking, _counted(asking), models.join(sizes, "part"), _sent(nearest + 1)))
+        placed, sent = (old.join(few.select("part"), "part", "left_anti").select("id", "embedding", "part").unionByName(new) for old, new in ((placed, fresh), (sent, on)))
+    return placed, sent
+
+
+def _blocks(placed: DataFrame, sent: DataFrame, most: int) -> DataFrame:
+    """ask, vec_id, score: the nearest rows for each query in the parts that it is sent to, of some parts at a time.
+
+    Parts of one network that stand side by side are alike, so `BESIDE` of them meet their queries together and each
+    query takes the nearest of them all along.
+    """
+    part = F.col("part") - 1
+    bundle = part - F.pmod(F.pmod(part, F.lit(FAN + 1)), F.lit(BESIDE))
+    placed, sent = (df.withColumn("bundle", bundle) for df in (placed, sent))
+    rows = checkpoint(placed.groupBy("bundle").agg(F.count("*").alias("n")).join(sent.groupBy("bundle").agg(F.countDistinct("id").alias("q")), "bundle"))
+    counts = rows.select("bundle", F.ceil(F.col("n") / BLOCK_ROWS).alias("rows"), F.ceil(F.col("q") / BLOCK_QUERIES).alias("queries"))
+    counts = small(counts, rows.count())
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    held = placed.join(counts, "bundle").select("bundle", own("rows").alias("row_block"), each("queries").alias("query_block"), F.lit(False).alias("asks"), "part", "id", "embedding")
+    asks = sent.join(counts, "bundle").select("bundle", each("rows").alias("row_block"), own("queries").alias("query_block"), F.lit(True).alias("asks"), "part", "id", "embedding")
+    return held.unionByName(asks).groupBy("bundle", "row_block", "query_block").applyInArrow(lambda t: _ranked(t, most), "ask long, vec_id long, score double")
 
 
 def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, parts: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found for each vector that is a query."""
+    bounded_batches(vectors.sparkSession)
     rows = valid(vectors)
-    total = rows.count()
-    if parts is None:
-        parts = 2 ** int(np.clip(np.round(np.log2(max(1, total) / ROWS_PER_PART)), 2, np.log2(MOST_PARTS)))
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS + SAMPLE_QUERIES).collect()
-    sample = np.array([r[1] for r in chosen], np.float64).reshape(len(chosen), len(chosen[0][1]) if chosen else 1)
-    sample_ids = np.array([r[0] for r in chosen], np.int64)
-    apart = min(SAMPLE_QUERIES, len(sample) // 5)
-    router = fit(sample[apart:], sample[:apart], parts, nearest=nearest)
-    placed = checkpoint(indexed(rows, router))
-    sizes = np.zeros(parts, np.int64)
-    for part, n in placed.groupBy("part").count().collect():  # at most `parts` rows
-        sizes[part] = n
-    known = _once(sample, sample_ids)
-    asked = checkpoint(routed(rows.filter(is_query), router, sizes, *known, nearest))
-    asking = np.zeros(parts, np.int64)
-    for part, n in asked.groupBy("part").count().collect():
-        asking[part] = n
-    row_blocks = [int(x) for x in np.maximum(1, -(-sizes // BLOCK_ROWS))]
-    query_blocks = [int(x) for x in -(-asking // BLOCK_QUERIES)]
-    rb, qb = F.get(F.array(*map(F.lit, row_blocks)), F.col("part")), F.get(F.array(*map(F.lit, query_blocks)), F.col("part"))
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.greatest(n, F.lit(1))).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    held = placed.filter(qb > 0).select("part", own(rb).alias("row_block"), each(qb).alias("query_block"), F.lit(False).alias("asks"), "vec_id", "embedding", F.lit(0.0).alias("floor"))
-    asks = asked.select("part", each(rb).alias("row_block"), own(qb).alias("query_block"), F.lit(True).alias("asks"), "vec_id", "embedding", "floor")
-    tasks = held.unionByName(asks).groupBy("part", "row_block", "query_block")
-    found = tasks.applyInArrow(lambda t: _ranked(t, nearest), "query_id long, vec_id long, score double")
-    best = found.unionByName(in_sample(rows.filter(is_query), *known, nearest)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    # of equal vectors the first ids are all that can be answers
+    nth = F.row_number().over(W.partitionBy("hash", "embedding").orderBy("vec_id"))
+    held = checkpoint(rows.distinct().withColumn("hash", F.xxhash64("embedding")).withColumn("nth", nth).filter(F.col("nth") <= nearest + 1).select(F.col("vec_id").alias("id"), "embedding"))
+    queries = checkpoint(rows.filter(is_query).distinct())
+    questions = checkpoint(queries.select("embedding").distinct().withColumn("id", F.monotonically_increasing_id()))
+    placed, sent = indexed(held, questions, held.count(), nearest, parts)
+    top = _blocks(placed, sent, nearest + 1)
+    order = F.row_number().over(W.partitionBy("ask").orderBy(F.desc("score"), "vec_id"))
+    top = top.groupBy("ask", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", order).filter(F.col("rank") <= nearest + 1)
+    top = top.groupBy("ask").agg(F.collect_list(F.struct("vec_id", "score")).alias("top"))  # at most nearest + 1
+    answered = questions.join(top, F.col("id") == F.col("ask")).select("embedding", "top")
+    found = salted_join(queries, answered, "embedding", "vec_id").select(F.col("vec_id").alias("query_id"), F.inline("top")).filter("vec_id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank)
+    return found.filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_nearest(spark, sf_dir: str) -> DataFrame:
