@@ -1,13 +1,15 @@
 """Secret scan with a trigram index, in native DataFrame operations.
 
 From each rule's pattern a Boolean query over lower-cased trigrams is derived: literal runs give trigrams that must
-all be there, alternatives give a choice of such sets. The index holds, for each document, the postings of every
-trigram that a query names, as bits of one number: the transposed form of an inverted index that stays with the
-documents' partitions, so intersecting postings needs no shuffle. Only documents that a rule's query admits are
-searched with its pattern; a pattern without mandatory trigrams is searched in all documents.
+all be there, alternatives give a choice of such sets. One pass over the texts writes the inverted index: for each
+trigram that a query names (the `PER_CHOICE` of rarest letters in each choice) the postings of the documents that hold
+it. Documents have slots, a hash of id and text over `LOAD` slots a row, and postings are bitmaps of `BITS` slots. A
+rule's candidates are its trigrams' postings, intersected within a choice and united over the choices; of documents
+that share a slot, all are candidates if one is. Only candidates are searched with the rule's pattern; a rule without
+mandatory trigrams is searched in all documents.
 
 A search takes the texts between the matches and the matches themselves, whose lengths in turn give the places, in
-code points.
+code points, by a running sum of as many steps as the number of matches has bits.
 
 Defined results: null and empty texts have no spans; matches of one rule never overlap, of different rules may; spans
 are ordered by start and then by the order of `RULES`; repeated rows are each returned; an empty table gives no rows;
@@ -18,28 +20,41 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._cluster import checkpoint, salted_join
+
+#: Slots of one bitmap, as Spark's bitmap functions have them, and slots for each row.
+BITS, LOAD = 1 << 15, 2
+#: Most trigrams of one choice that are indexed.
+PER_CHOICE = 3
+_COMMON = "etaoinshrdlu "
+#: Most bytes of candidates' bitmaps that are broadcast; more are joined by a shuffle.
+CANDIDATE_BYTES = 64 << 20
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern both Python and Java read; a match counts if the group has at least so many characters."""
+    """A pattern both Python and Java read; a match counts if the group has at least so many characters.
+
+    Where another pattern finds just the matches that count, `search` is that pattern.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
     base: bool = False
+    search: str | None = None
 
 
 #: The base kinds first, then public token formats.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, True),
-    Rule("hex", r"[0-9a-f]+", 0, 32, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, True, r"AKIA[A-Z0-9]{12,}"),
+    Rule("hex", r"[0-9a-f]+", 0, 32, True, r"[0-9a-f]{32,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
@@ -125,68 +140,78 @@ def trigram_query(pattern: str) -> Query:
     return _walk(re._parser.parse(pattern))[1]
 
 
-def _bits(rules: tuple[Rule, ...]) -> dict[str, int]:
-    named = sorted({t for r in rules for choice in trigram_query(r.pattern) for t in choice})
-    return {t: i for i, t in enumerate(named)}
+def indexed_query(pattern: str, most: int = PER_CHOICE) -> Query:
+    """The query with the trigrams of rarest letters of each choice; fewer conditions admit more texts, never fewer."""
+    rarity = lambda t: (sum(c in _COMMON for c in t), t)
+    return _simple(frozenset(frozenset(sorted(choice, key=rarity)[:most]) for choice in trigram_query(pattern)))
+
+
+def named(rules: tuple[Rule, ...]) -> list[str]:
+    """The trigrams that are indexed."""
+    return sorted({t for r in rules for choice in indexed_query(r.pattern) for t in choice})
+
+
+def _slotted(docs: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, text and the slot: bucket and bit."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    slot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets * BITS))
+    return rows.withColumn("slot", slot).select("doc_id", "text", F.floor(F.col("slot") / BITS).alias("bucket"), (F.col("slot") % BITS).alias("bit"))
 
 
-def postings(text: Column, bits: dict[str, int]) -> list[Column]:
-    """The document's share of each trigram's postings, 62 to a number. text: lower-cased."""
-    each = list(bits)
-    return [reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.contains(text, F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(each[k : k + 62])]) for k in range(0, len(each), 62)]
+def index(docs: DataFrame, rules: tuple[Rule, ...], buckets: int) -> DataFrame:
+    """The inverted index: trigram, bucket, postings (a bitmap of the bucket's slots)."""
+    found = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(t)), F.lit(t)) for t in named(rules)]))
+    rows = _slotted(docs, buckets).select("bucket", "bit", F.explode(found).alias("trigram"))
+    return rows.groupBy("trigram", "bucket").agg(F.bitmap_construct_agg("bit").alias("postings"))
 
 
-def indexed(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text and the document's postings."""
-    bits = _bits(rules)
-    low = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", F.lower("text"))
-    return low.select("doc_id", "text", F.array(*postings(F.col("low"), bits)).alias("postings"))
+def candidates(postings: DataFrame, rules: tuple[Rule, ...], buckets: int) -> DataFrame:
+    """A row for each bucket: of each rule that has a trigram query the candidates' bitmap, null if there are none."""
+    spark = postings.sparkSession
+    wanted = [(i, c, len(choice), t) for i, r in enumerate(rules) for c, choice in enumerate(sorted(indexed_query(r.pattern), key=sorted)) for t in choice]
+    held = spark.range(buckets).withColumnRenamed("id", "bucket")
+    if not wanted:
+        return held
+    of = F.broadcast(spark.createDataFrame(wanted, "rule int, choice int, size int, trigram string"))
+    both = postings.join(of, "trigram").groupBy("bucket", "rule", "choice", "size").agg(F.bitmap_and_agg("postings").alias("all"), F.count("*").alias("n")).filter("n = size")
+    any_ = both.groupBy("bucket", "rule").agg(F.bitmap_or_agg("all").alias("any")).filter(F.bitmap_count("any") > 0)
+    by_rule = any_.groupBy("bucket").agg(*[F.max(F.when(F.col("rule") == i, F.col("any"))).alias(f"c{i}") for i in sorted({w[0] for w in wanted})])
+    return held.join(by_rule, "bucket", "left")
 
 
-def admitted(rule: Rule, bits: dict[str, int], held: Column) -> Column:
-    """Whether the postings admit the rule's pattern."""
-    choices = []
-    for choice in trigram_query(rule.pattern):
-        masks: dict[int, int] = {}
-        for t in choice:
-            masks[bits[t] // 62] = masks.get(bits[t] // 62, 0) | 1 << bits[t] % 62
-        choices.append(reduce(lambda a, b: a & b, [F.get(held, F.lit(k)).bitwiseAND(F.lit(m)) == m for k, m in masks.items()], F.lit(True)))
-    return reduce(lambda a, b: a | b, choices)
+def _holds(bitmap: Column, bit: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return F.coalesce(F.bit_get(byte, (bit % 8).cast("int")) == 1, F.lit(False))
 
 
-def _certain(rule: Rule) -> Column:
-    """A cheaper sign than the pattern's spans that a rule without trigrams has any match; the full text is searched."""
-    return F.col("text").rlike(rf"{rule.pattern[:-1]}{{{rule.least},}}") if rule.pattern.endswith("+") else F.lit(True)
+def _running(lengths: Column) -> Column:
+    """Sums of all numbers up to each, by doubling steps, so that a long list takes no square of steps."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(lengths), F.lit(1)))).cast("int"))
+    return F.aggregate(steps, lengths, lambda sums, k: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))))
 
 
 def _spans(rule: Rule, order: int) -> Column:
     """Spans of a rule in a text: start, order, stop."""
-    pattern = F.lit(rule.pattern)
-    between, hits = F.split("text", rule.pattern, -1), F.regexp_extract_all("text", pattern, 0)
-    kept = hits if rule.group == 0 else F.regexp_extract_all("text", pattern, rule.group)
-    lengths = F.transform(F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit"), kept.alias("kept")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["kept"]).alias("kept")))
-    none = F.array().cast("array<struct<start:int,order:int,stop:int,good:boolean>>")
+    pattern = rule.search or rule.pattern
+    between, hits = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), 0)
+    kept = hits if rule.group == 0 else F.regexp_extract_all("text", F.lit(pattern), rule.group)
+    lengths = F.transform(F.arrays_zip(F.slice(between, 1, F.size(hits)).alias("gap"), hits.alias("hit"), kept.alias("kept")), lambda x: F.struct((F.length(x["gap"]) + F.length(x["hit"])).alias("both"), F.length(x["hit"]).alias("hit"), F.length(x["kept"]).alias("kept")))
     # the gaps and matches before a match end where it begins
-    placed = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["hit"]).alias("at"),
-            F.concat(a["spans"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), F.lit(order).alias("order"), (a["at"] + x["gap"] + x["hit"]).alias("stop"), (x["kept"] >= rule.least).alias("good")))).alias("spans"),
-        ),
-    )["spans"]
-    return F.transform(F.filter(placed, lambda s: s["good"]), lambda s: F.struct(s["start"], s["order"], s["stop"]))
+    placed = F.arrays_zip(lengths.alias("of"), _running(F.transform(lengths, lambda x: x["both"])).alias("stop"))
+    good = F.filter(placed, lambda x: x["of"]["kept"] >= rule.least)
+    return F.transform(good, lambda x: F.struct((x["stop"] - x["of"]["hit"]).alias("start"), F.lit(order).alias("order"), x["stop"].alias("stop")))
 
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row: doc_id and spans (start, order of the rule, stop), ordered."""
-    bits = _bits(rules)
+    buckets = max(1, -(-docs.count() * LOAD // BITS))
+    chosen = checkpoint(candidates(checkpoint(index(docs, rules, buckets)), rules, buckets))
+    rows = _slotted(docs, buckets)
+    few = buckets * (len(chosen.columns) - 1) * BITS // 8 <= CANDIDATE_BYTES
+    rows = rows.join(F.broadcast(chosen), "bucket") if few else salted_join(rows, chosen, "bucket", "text")
     none = F.array().cast("array<struct<start:int,order:int,stop:int>>")
-    rows = indexed(docs, rules)
     for i, rule in enumerate(rules):
-        may = admitted(rule, bits, F.col("postings"))
-        if trigram_query(rule.pattern) == _ALL:
-            may = _certain(rule)
+        may = _holds(F.col(f"c{i}"), F.col("bit")) if f"c{i}" in chosen.columns else F.col("text").rlike(rule.search or rule.pattern)
         rows = rows.withColumn(f"s{i}", F.when(may, _spans(rule, i)).otherwise(none))
     return rows.select("doc_id", F.array_sort(F.concat(*[F.col(f"s{i}") for i in range(len(rules))])).alias("spans"))
 
