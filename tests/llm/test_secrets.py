@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -60,6 +61,13 @@ def test_queries_admit_every_match(rule):
             assert any(all(t in text.lower() for t in choice) for choice in query)
 
 
+def test_indexed_queries_are_weaker():
+    for rule in S.RULES:
+        full, held = S.trigram_query(rule.pattern), S.indexed_query(rule.pattern)
+        assert all(any(few <= choice for few in held) for choice in full)
+        assert all(len(few) <= S.PER_CHOICE for few in held) and (held == S._ALL) == (full == S._ALL)
+
+
 def test_queries():
     assert S.trigram_query("[0-9a-f]+") == frozenset([frozenset()])
     assert S.trigram_query("ABCD") == frozenset([frozenset(["abc", "bcd"])])
@@ -67,6 +75,54 @@ def test_queries():
     assert S.trigram_query("ab.cd") == frozenset([frozenset()])
 
 
+def test_the_index_inverts_and_intersects(spark):
+    """Postings name the slots of the texts that hold a trigram, and candidates the texts that a rule's query admits."""
+    texts = [*TEXTS, "pass swo ord", "tok ken", "plain"]
+    frame, buckets = docs(spark, list(enumerate(texts)), extra=True), 2
+    where = {r.doc_id: (r.bucket, r.bit) for r in S._slotted(frame, buckets).collect()}
+    shared = {i for i in where if list(where.values()).count(where[i]) > 1}
+    held = {(r.trigram, r.bucket): r.postings for r in S.index(frame, S.RULES, buckets).collect()}
+    has = lambda bits, bit: bits is not None and bits[bit // 8] >> bit % 8 & 1
+    for i, text in enumerate(texts):
+        bucket, bit = where[i]
+        for t in S.named(S.RULES):
+            if i not in shared:
+                assert bool(has(held.get((t, bucket)), bit)) == (t in text.lower())
+    chosen = {r.bucket: r for r in S.candidates(S.index(frame, S.RULES, buckets), S.RULES, buckets).collect()}
+    for k, rule in enumerate(S.RULES):
+        query = S.indexed_query(rule.pattern)
+        for i, text in enumerate(texts):
+            if query != frozenset([frozenset()]) and i not in shared:
+                admitted = any(all(t in text.lower() for t in choice) for choice in query)
+                assert bool(has(chosen[where[i][0]][f"c{k}"], where[i][1])) == admitted
+
+
+def test_only_candidates_are_searched(spark, monkeypatch):
+    """Without postings no rule with trigrams finds anything, so results come through the index."""
+    frame = docs(spark, list(enumerate(TEXTS)))
+    index = S.index
+    monkeypatch.setattr(S, "index", lambda *a: index(*a).limit(0))
+    kinds = {s.order for r in S.scanned(frame).collect() for s in r.spans}
+    assert kinds == {2}
+
+
+def test_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(S, "CANDIDATE_BYTES", 0)
+    assert run(spark, TEXTS) == {i: brute(t) for i, t in enumerate(TEXTS)}
+
+
+def test_very_long_texts_take_linear_time(spark):
+    """Ten million characters of hexadecimal words, and half a million assignments that don't count or do."""
+    hexes = "deadbeef cafe0123 " * 555_000 + "0123456789abcdef" * 4
+    tokens = "token=ab " * 250_000 + "token=abcdefgh " * 250_000
+    began = time.perf_counter()
+    got = run(spark, [hexes, tokens])
+    assert time.perf_counter() - began < 60
+    assert got[0] == [(len(hexes) - 64, 2, len(hexes))]
+    assert len(got[1]) == 250_000
+    assert got[1][0] == (9 * 250_000, 0, 9 * 250_000 + 14) and got[1][-1] == (len(tokens) - 15, 0, len(tokens) - 1)
+
+
 def test_rows_stay(spark):
     assert S.scanned(docs(spark, ODD)).count() == len(ODD)
     assert S.scanned(docs(spark, [])).count() == 0
