@@ -36,11 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._cluster import checkpoint, fresh_dir
+from tessera.llm._cluster import bounded_batches, checkpoint, fresh_dir, salted_join
 
 BLOCK_LINES = 2000
 DIRECTORY = 100_000
 ARCHIVE_BYTES = 1 << 30
+#: Compressed bytes and records that one task reads back.
+READ_BYTES, READ_RECORDS = 8 << 20, 20_000
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CDX = "key string, page_id long, archive string, offset long, length long"
@@ -114,6 +116,7 @@ def _least(page_id: int | None) -> int:
 def write(pages: DataFrame, path: str | None = None) -> Archive:
     """Writes all pages (page_id, url, html) as archives with an index."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     path = path or fresh_dir(spark, "warc")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
@@ -146,7 +149,8 @@ def write(pages: DataFrame, path: str | None = None) -> Archive:
             if out is not None:
                 out.close()
 
-    captures = checkpoint(rows.join(first, "sha").select("page_id", "url", "html", "sha", "response_id").mapInArrow(put, _CDX))
+    # a payload that many pages share is dealt over many tasks
+    captures = checkpoint(salted_join(rows, first, "sha", "page_id").select("page_id", "url", "html", "sha", "response_id").mapInArrow(put, _CDX))
     _index(captures, path)
     return Archive(spark, path)
 
@@ -229,7 +233,10 @@ def read(archive: Archive, captures: DataFrame, payloads: bool = True) -> DataFr
         if source is not None:
             source.close()
 
-    ordered = captures.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    captures = checkpoint(captures.select("archive", "offset", "length"))
+    n, size = captures.agg(F.count("*"), F.sum("length")).first()
+    tasks = max(1, -(-n // READ_RECORDS), -(-(size or 0) // READ_BYTES))
+    ordered = captures.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long" + ", payload binary" * payloads
     return ordered.mapInArrow(get, schema)
 
