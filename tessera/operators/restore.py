@@ -7,6 +7,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +102,18 @@ def decode_manifest(raw: bytes) -> dict:
     return {"snapshot_id": snapshot_id, "created_at": created_at, "files": files}
 
 
+def encoded(manifests: DataFrame) -> DataFrame:
+    """A blob for each manifest. manifests: the manifest schema."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([rows.column("snapshot_id"), pa.array([encode_manifest(r) for r in rows.to_pylist()], pa.binary())], ["snapshot_id", "blob"])
+
+    return manifests.select("snapshot_id", "created_at", "files").mapInArrow(run, "snapshot_id binary, blob binary")
+
+
 def decoded(blobs: DataFrame) -> DataFrame:
     """Manifests of a column of blobs. blobs: blob."""
 
@@ -112,7 +125,7 @@ def decoded(blobs: DataFrame) -> DataFrame:
 
 
 def write_files(files: DataFrame, target: str) -> int:
-    """Writes files (path, content, mtime_secs, mode) below a new or empty folder that this machine reaches; returns how many.
+    """Writes files (path, content, mtime_secs, perhaps mtime_nanos, mode) below a new or empty folder that this machine reaches; returns how many.
 
     Rows stream to the driver one partition at a time, as a restore's target is one machine's folder.
     """
@@ -126,6 +139,7 @@ def write_files(files: DataFrame, target: str) -> int:
         with open(place, "wb") as f:
             f.write(bytes(row["content"] or b""))
         os.chmod(place, row["mode"] & 0o777)
-        os.utime(place, (row["mtime_secs"], row["mtime_secs"]))
+        at = row["mtime_secs"] * 10**9 + (row["mtime_nanos"] if "mtime_nanos" in row else 0)
+        os.utime(place, ns=(at, at))
         n += 1
     return n

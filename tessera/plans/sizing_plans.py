@@ -176,6 +176,20 @@ def manifest_refs(s, d):
     return restore.exploded(manifests).select("snapshot_id", "path", "file_no", "chunk_no", F.col("chunk_id").cast("string").alias("chunk_id"))
 
 
+def manifest_codec(s, d):
+    """Manifests as bytes: their lengths, what they hold, and whether reading them back gives the same."""
+    lines = V.table(s, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.array_sort(F.collect_list(F.unhex(F.sha2(F.col("l_partkey").cast("string"), 256)))).alias("chunks"), F.sum("l_quantity").cast("long").alias("size"))
+    path = F.concat(F.lit("ü/"), F.col("l_suppkey").cast("string"))
+    file = F.struct(path.alias("path"), "size", (F.col("l_suppkey") - 50).alias("mtime_secs"), (F.col("l_suppkey") % 10**9).alias("mtime_nanos"), F.lit(0o100644).cast("long").alias("mode"), "chunks")
+    made = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(file)).alias("files"))
+    made = made.select(F.unhex(F.lpad(F.hex("l_orderkey"), 32, "0")).alias("snapshot_id"), F.col("l_orderkey").cast("long").alias("created_at"), "files")
+    blobs = restore.encoded(made)
+    back = restore.decoded(blobs).select("snapshot_id", F.xxhash64("created_at", "files").alias("after"))
+    sums = made.select("snapshot_id", "created_at", F.xxhash64("created_at", "files").alias("before"), F.size("files").cast("long").alias("files"), F.aggregate("files", F.lit(0).cast("long"), lambda n, x: n + F.size(x["chunks"])).alias("chunks"))
+    rows = sums.join(blobs.select("snapshot_id", F.octet_length("blob").cast("long").alias("bytes")), "snapshot_id").join(back, "snapshot_id")
+    return rows.select(F.col("created_at").alias("snapshot_id"), "files", "chunks", "bytes", (F.col("before") == F.col("after")).alias("same"))
+
+
 def packed_refs(s, d):
     """Ids side by side in one value, taken apart."""
     ids = V.refs(s, d).select("snapshot_id", F.sha2(F.col("chunk_id").cast("string"), 256).alias("id"))
@@ -262,6 +276,10 @@ QUERIES = {
         manifest_refs,
         "WITH l AS (SELECT l_orderkey AS snapshot_id, CAST(l_suppkey AS VARCHAR) AS path, CAST(l_partkey AS VARCHAR) AS chunk_id FROM lineitem) SELECT snapshot_id, path, CAST(dense_rank() OVER (PARTITION BY snapshot_id ORDER BY path) - 1 AS INTEGER) AS file_no, CAST(row_number() OVER (PARTITION BY snapshot_id, path ORDER BY chunk_id) - 1 AS INTEGER) AS chunk_no, chunk_id FROM l",
     ),
+    "manifest_codec": (
+        manifest_codec,
+        "WITH f AS (SELECT l_orderkey AS k, l_suppkey AS p, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT CAST(k AS BIGINT) AS snapshot_id, count(*) AS files, CAST(sum(n) AS BIGINT) AS chunks, CAST(28 + sum(32 + 3 + length(CAST(p AS VARCHAR)) + 32 * n) AS BIGINT) AS bytes, true AS same FROM f GROUP BY k",
+    ),
     "packed_refs": (packed_refs, with_sql("refs") + ", i AS (SELECT snapshot_id, sha256(CAST(chunk_id AS VARCHAR)) AS chunk_id FROM refs) SELECT snapshot_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY chunk_id) - 1 AS seq, chunk_id FROM i"),
     "cdc_fanout": (cdc_fanout, None),
     "cdc_report": (cdc_report, None),
