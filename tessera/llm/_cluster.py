@@ -11,7 +11,6 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Most rows of a few plain columns that are broadcast; larger sides are shuffled.
@@ -60,27 +59,17 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder made by fresh_dir() once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hints a broadcast if the counted rows are few enough; otherwise the join shuffles."""
     return F.broadcast(df) if rows <= most else df
 
 
-#: Places that one task sums up in running().
-RUN = 1024
-
-
-def running(sums: DataFrame, keys: list[str], at: str, n: str, out: str) -> DataFrame:
-    """Adds to rows of (keys, at, n) the sum of n over all lesser `at`, which count from 0, of the same keys.
-
-    Runs of places are summed up apart and then the runs, so a key of many places doesn't meet in one task.
-    """
-    inner = sums.withColumn("_run", F.floor(F.col(at) / RUN))
-    runs = inner.groupBy(*keys, "_run").agg(F.sum(n).alias("_of"))
-    above = runs.select(*keys, "_run", (F.sum("_of").over(W.partitionBy(*keys).orderBy("_run")) - F.col("_of")).alias("_above"))
-    inside = F.sum(n).over(W.partitionBy(*keys, "_run").orderBy(at)) - F.col(n)
-    return inner.withColumn(out, inside).join(above, [*keys, "_run"]).withColumn(out, F.col(out) + F.col("_above")).drop("_run", "_above")
-
-
 #: Parts that each key of salted_join() is dealt over before Spark splits any further.
 SALTS = 8
 

@@ -35,14 +35,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from tessera.llm._cluster import bounded_batches, checkpoint, running, salted_join, sliced, small
+from tessera.llm._cluster import bounded_batches, checkpoint, salted_join, sliced, small
+from tessera.operators.ordered import running
 
 WEIGHTS = (5, 2, 1)
 COPIES = 3
 BLOCK_WORDS = 1024
 SHARDS = 16
 SEED = 20
-LINE_ROWS = 2_000
+LINE_ROWS = 500
 GROUP_SOURCES = 10_000
 #: Most sources whose plans are broadcast.
 BROADCAST_SOURCES = 100_000

@@ -8,24 +8,27 @@ capacity is exact over all groups. As one large group may leave slack, cuts are
 that capacity allows.
 
 Defined results: a null text has no bytes, so size 1, checksum 0; an empty table gives no rows; with fewer groups
-than shards some shards are empty; repeated rows get slots of their own; null doc_ids sort first. Two different texts
-of one 64-bit hash would count as one group.
+than shards some shards are empty; repeated rows get slots of their own; null doc_ids sort first; other columns stay as
+they are, but own columns named shard or slot give way. Two different texts of one 64-bit hash would count as one group.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm._cluster import checkpoint, small
+from tessera.operators.ordered import running
 
 SHARDS = 8
 #: Ranges of the hash that one range is opened into: two to the power of this.
 BITS = 12
 #: Rows that get their slots in one task.
-SLOT_ROWS = 2_000
+SLOT_ROWS = 500
 
 
 def order_key(text: Column) -> Column:
@@ -126,17 +129,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_bytes(F.col("text")).alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), order_key(F.col("text")).alias("key"))
 
 
-def with_slots(rows: DataFrame, n_rows: int, narrow: DataFrame | None = None) -> DataFrame:
-    """Adds slot, gapless from 0 in each shard. rows: shard, doc_id, key and others; narrow: the same rows, cheaper to read.
+def with_slots(rows: DataFrame, n_rows: int, by: list[Column], narrow: DataFrame | None = None) -> DataFrame:
+    """Adds slot, gapless from 0 in each shard, ordered by some columns in a bin. rows: shard and others; narrow: the same rows, cheaper to read.
 
-    Rows are dealt into bins by a hash; each bin is numbered by itself and begins where those before it end.
+    Rows are dealt into bins by a hash of these columns; each bin is numbered by itself and begins where those before it end.
     """
+    bin_, begin, n = (f"_{name}_{uuid.uuid4().hex}" for name in ("bin", "begin", "n"))  # like no column of the rows
     bins = max(1, -(-n_rows // (SHARDS * SLOT_ROWS)))
-    binned = lambda df: df.withColumn("_bin", F.pmod(F.xxhash64("doc_id", "key"), F.lit(bins)).cast("int"))
-    counts = binned(narrow if narrow is not None else rows).groupBy("shard", "_bin").agg(F.count("*").alias("_n"))
-    begins = counts.select("shard", "_bin", (F.sum("_n").over(W.partitionBy("shard").orderBy("_bin")) - F.col("_n")).alias("_begin"))
-    rank = F.row_number().over(W.partitionBy("shard", "_bin").orderBy("doc_id", "key"))
-    return binned(rows).join(small(begins, SHARDS * bins), ["shard", "_bin"]).withColumn("slot", (F.col("_begin") + rank - 1).cast("long")).drop("_bin", "_begin")
+    binned = lambda df: df.withColumn(bin_, F.pmod(F.xxhash64(*by), F.lit(bins)))
+    counts = checkpoint(binned(narrow if narrow is not None else rows).groupBy("shard", bin_).agg(F.count("*").alias(n)))
+    begins = running(counts, ["shard"], bin_, n, begin).drop(n)
+    rank = F.row_number().over(W.partitionBy("shard", bin_).orderBy(*by))
+    return binned(rows).join(small(begins, counts.count()), ["shard", bin_]).withColumn("slot", (F.col(begin) + rank - 1).cast("long")).drop(bin_, begin)
 
 
 def assignments(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -144,16 +148,18 @@ def assignments(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     keyed = checkpoint(_keyed(docs))
     groups = checkpoint(keyed.groupBy("key").agg(F.sum("size").alias("bytes")))
     found, _ = cuts(groups, shards)
-    return with_slots(keyed.withColumn("shard", shard_of(F.col("key"), found)), keyed.count())
+    return with_slots(keyed.withColumn("shard", shard_of(F.col("key"), found)), keyed.count(), [F.col("doc_id"), F.col("key")])
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The documents with their columns, shard and slot; own columns of these names give way."""
-    docs = docs.drop("shard", "slot", "key", "_bin", "_begin")
+    """The documents with their columns, shard and slot; own columns of these two names give way."""
+    docs = docs.drop("shard", "slot")
     narrow = checkpoint(docs.select("doc_id", text_bytes(F.col("text")).alias("bytes"), order_key(F.col("text")).alias("key")))
     found, _ = cuts(checkpoint(narrow.groupBy("key").agg(F.sum("bytes").alias("bytes"))), shards)
-    full = docs.withColumn("key", order_key(F.col("text"))).withColumn("shard", shard_of(F.col("key"), found))
-    return with_slots(full, narrow.count(), narrow.withColumn("shard", shard_of(F.col("key"), found))).drop("key")
+    key = f"_key_{uuid.uuid4().hex}"
+    narrow = narrow.select("doc_id", F.col("key").alias(key)).withColumn("shard", shard_of(F.col(key), found))
+    full = docs.withColumn(key, order_key(F.col("text"))).withColumn("shard", shard_of(F.col(key), found))
+    return with_slots(full, narrow.count(), [F.col("doc_id"), F.col(key)], narrow).drop(key)
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:

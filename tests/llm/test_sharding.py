@@ -55,7 +55,8 @@ def test_odd_rows(spark):
     check(ODD, S.assignments(docs(spark, ODD, extra=True)).collect())
     assert S.assignments(docs(spark, [])).count() == 0
     assert S.sharded(docs(spark, [])).count() == 0
-    out = S.sharded(docs(spark, ODD, extra=True))
+    out = S.sharded(docs(spark, ODD, extra=True).withColumn("_bin", F.lit("mine")).withColumn("_begin", F.lit("mine")))
+    assert {(r.key, r._bin, r._begin, r.rank) for r in out.collect()} == {("mine", "mine", "mine", "mine")}
     check(ODD, out.withColumn("size", S.text_bytes(F.col("text"))).withColumn("text_crc32", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0))).collect())
 
 
