@@ -26,19 +26,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return near.unionByName(found.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Each node of an edge with the least node of its component: node, root. edges: a, b (long, not null).
 
-    Every round is checkpointed; the number of edges never grows. An edge from a node to itself is ignored.
+    Every round is checkpointed; the number of edges never grows, and rounds end as they bring nodes nearer to their
+    least neighbours until nothing moves. An edge from a node to itself is ignored.
     """
     now = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    while True:
         # a star forest: no node has two lesser neighbours, and none of these has a lesser one itself
         branched = now.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).filter("low < high").select("a")
         chained = now.select("b").distinct().join(now.select(F.col("a").alias("b")), "b", "left_semi")
         if branched.unionByName(chained.select(F.col("b").alias("a"))).isEmpty():
             break
         now = checkpoint(_small_star(_large_star(now)))
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
