@@ -126,8 +126,8 @@ class Archive:
         if bad:
             raise ValueError(f"{bad.path}: {bad.outcome}")
         refs = self.table("refs").filter(F.col("snapshot_id") == snapshot_id)
-        content = restore.assembled(refs.select("path", "seq", "chunk_id"), self._decoded(refs)).select("path", "content")
-        n = restore.write_files(files.join(content, "path", "left").select("path", "content", "mtime_secs", "mtime_nanos", "mode"), target)
+        parts = refs.select("path", "seq", "chunk_id").join(self._decoded(refs), "chunk_id").select("path", "seq", "data")
+        n = restore.write_files(files.select("path", "mtime_secs", "mtime_nanos", "mode"), parts, target)
         return {"files": n, "bytes": files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]}
 
     def delete(self, *snapshot_ids: str) -> None:

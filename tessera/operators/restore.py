@@ -124,22 +124,28 @@ def decoded(blobs: DataFrame) -> DataFrame:
     return blobs.select("blob").mapInPandas(run, MANIFEST)
 
 
-def write_files(files: DataFrame, target: str) -> int:
-    """Writes files (path, content, mtime_secs, perhaps mtime_nanos, mode) below a new or empty folder that this machine reaches; returns how many.
+def write_files(files: DataFrame, parts: DataFrame, target: str) -> int:
+    """Writes files below a new or empty folder that this machine reaches; returns how many.
 
-    Rows stream to the driver one partition at a time, as a restore's target is one machine's folder.
+    files: path, mtime_secs, perhaps mtime_nanos, mode; parts: path, seq, data. Parts stream to the driver in order, one
+    partition at a time, as a restore's target is one machine's folder; no file is ever held whole.
     """
     if os.path.isdir(target) and os.listdir(target):
         raise FileExistsError(f"{target} is not empty")
     os.makedirs(target, exist_ok=True)
-    n = 0
-    for row in files.filter(formats.safe_path(F.col("path"))).toLocalIterator():
+    safe = files.filter(formats.safe_path(F.col("path")))
+    for row in safe.select("path").toLocalIterator():
         place = os.path.join(target, row["path"])
         os.makedirs(os.path.dirname(place), exist_ok=True)
-        with open(place, "wb") as f:
-            f.write(bytes(row["content"] or b""))
-        os.chmod(place, row["mode"] & 0o777)
+        open(place, "wb").close()
+    for row in parts.join(safe.select("path"), "path", "left_semi").orderBy("path", "seq").select("path", "data").toLocalIterator():
+        with open(os.path.join(target, row["path"]), "ab") as f:
+            f.write(bytes(row["data"]))
+    n = 0
+    for row in safe.toLocalIterator():
+        place = os.path.join(target, row["path"])
         at = row["mtime_secs"] * 10**9 + (row["mtime_nanos"] if "mtime_nanos" in row else 0)
+        os.chmod(place, row["mode"] & 0o777)
         os.utime(place, ns=(at, at))
         n += 1
     return n

@@ -229,11 +229,12 @@ def test_tree_source_and_restore(spark, tmp_path):
     both = [r.path for r in read_tree(spark, str(root), str(other)).collect()]
     assert "more/x" in both and "data/a.txt" in both
     target = tmp_path / "out"
-    assert restore.write_files(read_tree(spark, str(root)), str(target)) == 4
+    parts = chunking.chunked(read_tree(spark, str(root)), [256], with_data=True).select("path", "seq", "data")
+    assert restore.write_files(read_tree(spark, str(root), content=False), parts, str(target)) == 4
     assert os.stat(target / "a.txt").st_mtime_ns == -1_500_000_000
     assert (target / "sub/empty.bin").read_bytes() == b"" and (target / "_b.txt").read_bytes() == b"bb"
     with pytest.raises(FileExistsError):
-        restore.write_files(read_tree(spark, str(root)), str(target))
+        restore.write_files(read_tree(spark, str(root), content=False), parts, str(target))
 
 
 def test_two_orders(spark):
