@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import chunking, rates
 from tessera.plans import views as V
 from tessera.plans.views import HOUR, with_sql
-from tessera.sources.tree import read_tree
+from tessera.sources.tree import dealt, opener, read_tree
 from tessera.streaming import upkeep
 from tessera.streaming.folders import scratch
 
@@ -19,6 +20,12 @@ def tree_scan(s, d):
     return read_tree(s, d, content=False).select("path", "size")
 
 
+def stage_rates(s, d):
+    """How fast the tables' files are read, cut, hashed and sealed here; the rates differ from run to run."""
+    files = dealt(read_tree(s, d, content=False).filter("path LIKE 'orders.%' OR path LIKE 'pages.%'"))
+    return rates.measured(files, opener((d,)), chunking.Config.of(65536)).select("stage", "bytes", (F.col("rate") > 0).alias("measured"), "rate").orderBy("stage")
+
+
 def upload_stream(s, d):
     """References streamed as uploads: each chunk is stored once."""
     at = scratch(s, "uploads")
@@ -55,6 +62,7 @@ def schedule_runs(s, d):
 
 QUERIES = {
     "tree_scan": (tree_scan, None),
+    "stage_rates": (stage_rates, None),
     "upload_stream": (upload_stream, with_sql("refs") + " SELECT DISTINCT chunk_id, chunk_id % 50 AS chunk_len FROM refs"),
     "gc_stream": (
         gc_stream,
