@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import re
 import shutil
 import tempfile
@@ -85,6 +86,12 @@ def salted_join(rows: DataFrame, keyed: DataFrame, key: str, by: str) -> DataFra
     return rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(copies, [key, salt]).drop(salt)
 
 
+def table_of(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows as a table that needs no Python worker to read. schema: names and types, as for a struct."""
+    kind = ", ".join(":".join(x.split()) for x in schema.split(","))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches in smaller slices, so that what is made of one stays small."""
     for batch in batches:

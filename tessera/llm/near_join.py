@@ -1,16 +1,21 @@
-"""N-gram Jaccard join of documents by banded MinHash LSH with exact verification.
+"""N-gram Jaccard join of documents by a MinHash LSH forest with exact verification.
 
 A document is the set of its runs of five words (a shorter text is one run). Documents of equal sets are one copy
-class, of which one member goes on. Every set has `TREES` labels of `MAX_DEPTH` MinHash components of eight bits, the first in the
-highest bits. This is not an LSH forest: no tries are built and no prefix is shortened by what the data hold. One prefix
-length serves all labels, forest_depth(): the longest at which two sets of exactly the threshold's similarity share a
-prefix with probability `RECALL` or more; more similar sets are found more surely. Each label's prefix is one band, and
-sets that share a band, a node, meet in a shuffle by its hash. Components beyond the prefix are computed and not used.
-
-Candidates are never written as pairs. Members of a node are tied to its least member, the ties' connected components
-are formed, and all pairs inside a component are compared exactly, in blocks of at most `BLOCK_ROWS` documents, by
-counting common shingles; a task returns the number of links of each document and a spanning forest of its links. So a
-group of any size is dealt over many tasks and its rows grow with its size, not with its square.
+class, of which one member goes on. Every set has `TREES` labels of `MAX_DEPTH` MinHash components of eight bits, the
+first in the highest bits. Each tree's labels are sorted, and what each label has in common with the one before it
+makes the sorted labels a prefix trie: a label's node of that depth begins at the first label that shares the prefix.
+
+Prefixes are shortened adaptively. The floor is the longest prefix at which two sets of exactly the threshold's
+similarity meet in some tree with probability `RECALL`. In how many trees two sets share a prefix of that length tells
+how similar they are, and so how likely they are to share a longer one in some tree. A set whose similar partners would
+all be found by a longer prefix, to an expected share of `RECALL`, uses the longest such; one without similar partners,
+of which nothing is known, goes down to the floor. A label is tied to the first of its node if the prefix is as long
+as either set needs.
+
+Candidates are never written as pairs: ties are one a label. Their connected components are formed, and all pairs
+inside a component are compared exactly, in blocks of at most `BLOCK_ROWS` documents, by counting common shingles; a
+task returns the number of links of each document and a spanning forest of its links. So a group of any size is dealt
+over many tasks, and no link inside it is left out.
 
 Defined results: a null or wordless text has no shingles, is linked to nothing and is a class of its own; so is a row
 with a null doc_id, which is not compared; rows that share a doc_id are one document for classes and links; an empty
@@ -20,16 +25,17 @@ table gives no rows; other columns are ignored. Sets count as equal if two indep
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._cluster import bounded_batches, checkpoint, salted_join, sliced, small
+from tessera.llm._cluster import bounded_batches, checkpoint, salted_join, sliced, small, table_of
 from tessera.llm._words import U, mix, shingles, words
 from tessera.llm.components import components
 
@@ -37,19 +43,23 @@ WIDTH = 5
 THRESHOLD = 0.8
 TREES = 24
 MAX_DEPTH = 8
-RECALL = 0.999
-BLOCK_ROWS = 1024
+RECALL = 0.9999
+#: Labels that one task sorts on the whole.
+LABEL_ROWS = 2_000_000
+BLOCK_ROWS = 512
 BLOCK_SHINGLES = 1_000_000
 _BITS = 8
 _SECOND = U(0xA0761D6478BD642F)
 
 
-def forest_depth(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> int:
+def found_share(similarity: float, depth: int, trees: int = TREES) -> float:
+    """How likely two sets of that similarity are to share a prefix of that length in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def floor_depth(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> int:
     """The longest prefix at which the forest still finds a pair of the threshold's similarity with that probability."""
-    depth = MAX_DEPTH
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+    return next((d for d in range(MAX_DEPTH, 1, -1) if found_share(threshold, d, trees) >= recall), 1)
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[list[np.ndarray], range]]:
@@ -106,6 +116,80 @@ def signatures(docs: DataFrame, width: int = WIDTH, trees: int = TREES) -> DataF
     return rows.mapInArrow(sign, "doc_id long, text_key long, n long, h1 long, h2 long, labels array<long>")
 
 
+def _prefix(label: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """How many components each label shares with the one before it."""
+    apart = label.view(U) ^ before.view(U)
+    return MAX_DEPTH - np.sum([apart >> U(_BITS * k) != 0 for k in range(MAX_DEPTH)], axis=0)
+
+
+def _walked(floor: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Walks the sorted labels of a task: a, the first set of its node (b) and the node's depth; and the task's first and last label."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, names = TaskContext.get().partitionId(), ["a", "b", "depth", "part", "tree", "label"]
+        path = np.zeros(MAX_DEPTH + 1, np.int64)  # of each depth the first set of the node that the last label is in
+        last: tuple[int, int, int] | None = None
+        ends = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, label, rep = (batch.column(k).to_numpy() for k in ("tree", "label", "rep"))
+            if last is None:
+                last = (-1, 0, 0)
+                ends.append((int(rep[0]), -1, int(tree[0]), int(label[0])))
+            shared = _prefix(label, np.concatenate(([last[1]], label[:-1])))
+            shared[tree != np.concatenate(([last[0]], tree[:-1]))] = 0
+            first = np.zeros(len(rep), np.int64)
+            at = np.arange(len(rep))
+            for d in range(1, MAX_DEPTH + 1):
+                begins = np.maximum.accumulate(np.where(shared < d, at, -1))  # where the label's node of this depth begins
+                head = np.where(begins >= 0, rep[begins], path[d])
+                first[shared == d] = head[shared == d]
+                path[d] = head[-1]
+            last = (int(tree[-1]), int(label[-1]), int(rep[-1]))
+            tied = (shared >= floor) & (first != rep)
+            none = pa.nulls(int(tied.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rep[tied]), pa.array(first[tied]), pa.array(shared[tied].astype(np.int64)), none, none, none], names)
+        if last is not None:
+            ends.append((last[2], -2, last[0], last[1]))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) if x is not None else pa.nulls(1, pa.int64()) for x in (ends[0][0], None, -1, part, *ends[0][2:])], names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) if x is not None else pa.nulls(1, pa.int64()) for x in (ends[1][0], None, -2, part, *ends[1][2:])], names)
+
+    return walk
+
+
+def ties(classes: DataFrame, threshold: float, trees: int, recall: float) -> DataFrame:
+    """Sets tied to the first of a node whose prefix is as long as either needs: a, b. classes: rep, labels."""
+    spark, floor = classes.sparkSession, floor_depth(threshold, trees, recall)
+    labels = classes.select("rep", F.posexplode("labels").alias("tree", "label")).select(F.col("tree").cast("long").alias("tree"), "label", "rep")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * trees // LABEL_ROWS))
+    ordered = labels.repartitionByRange(tasks, "tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
+    walked = checkpoint(ordered.mapInArrow(_walked(floor), "a long, b long, depth long, part long, tree long, label long"))
+    # two rows a task: where one task's labels end and the next one's begin
+    ends = sorted((r.part, -r.depth, r.tree, r.label, r.a) for r in walked.filter("depth < 0").collect())
+    seams = []
+    for (_, kind, tree, label, rep), (_, _, tree2, label2, rep2) in zip(ends, ends[1:], strict=False):
+        shared = int(_prefix(np.array([label2]), np.array([label]))[0])
+        if kind == 2 and tree == tree2 and shared >= floor and rep != rep2:
+            seams.append({"a": rep2, "b": rep, "depth": shared})
+    near = walked.filter("depth > 0").select("a", "b", "depth").unionByName(table_of(spark, seams, "a long, b long, depth long"))
+    pairs = checkpoint(near.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("met"), F.max("depth").alias("depth")))
+    # in how many trees two sets meet at the floor tells their similarity, and that the share found at longer prefixes
+    depths = range(floor, MAX_DEPTH + 1)
+    likely = [(min(1.0, m / trees)) ** (1 / floor) for m in range(trees + 1)]
+    share = {d: F.get(F.array(*[F.lit(found_share(s, d, trees)) for s in likely]), F.least("met", F.lit(trees)).cast("int")) for d in depths}
+    similar = F.get(F.array(*[F.lit(s >= threshold) for s in likely]), F.least("met", F.lit(trees)).cast("int"))
+    sides = [pairs.filter(similar).select(F.col(x).alias("rep"), *[share[d].alias(f"s{d}") for d in depths]) for x in ("a", "b")]
+    means = sides[0].unionByName(sides[1]).groupBy("rep").agg(*[F.avg(f"s{d}").alias(f"s{d}") for d in depths])
+    needs = means.select("rep", F.greatest(F.lit(floor), *[F.when(F.col(f"s{d}") >= recall, d).otherwise(floor) for d in depths]).alias("need")).filter(F.col("need") > floor)
+    needs = checkpoint(needs)
+    few = small(needs, needs.count())
+    for x in ("a", "b"):
+        pairs = pairs.join(few.withColumnsRenamed({"rep": x, "need": f"need_{x}"}), x, "left")
+    enough = F.least(F.coalesce("need_a", F.lit(floor)), F.coalesce("need_b", F.lit(floor)))
+    return pairs.filter(F.col("depth") >= enough).select("a", "b")
+
+
 def _common(owners: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """How many values each two of n sets have in common."""
     order = np.argsort(values, kind="stable")
@@ -173,11 +257,8 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, tr
         shared = held.join(several, "doc_id").select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"])
         least = shared.groupBy("doc_id").agg(F.min("rep").alias("b"))
         again = checkpoint(shared.join(least, "doc_id").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct())
-    drop = _BITS * (MAX_DEPTH - forest_depth(threshold, trees, recall))
-    nodes = classes.select("rep", F.posexplode("labels").alias("tree", "label")).select("rep", F.xxhash64("tree", F.shiftright("label", drop)).alias("node"))
-    full = nodes.groupBy("node").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first < last")
-    ties = salted_join(nodes, full, "node", "rep").select(F.col("rep").alias("a"), F.col("first").alias("b")).filter("a <> b").distinct()
-    near = components(ties if again is None else ties.unionByName(again)).withColumnRenamed("node", "rep")
+    tied = ties(classes, threshold, trees, recall)
+    near = components(tied if again is None else tied.unionByName(again)).withColumnRenamed("node", "rep")
     weights = classes.select("rep", "n")
     members = checkpoint(near.join(weights, "rep").groupBy("rep").agg(F.max("root").alias("root"), F.max("n").alias("n")))
     parts = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
