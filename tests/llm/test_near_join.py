@@ -93,10 +93,86 @@ def test_one_of_each_class_stays(spark):
     assert ids == sorted([1, 2, 3, 4, 5, 6, None, 7, 8, 20, 23], key=str)
 
 
-def test_depth_follows_the_recall():
-    assert N.forest_depth(0.8, 24, 0.999) == 6
-    assert N.forest_depth(0.8, 24, 0.9999) < 6 <= N.forest_depth(0.9, 24, 0.999)
-    assert N.forest_depth(0.8, 1, 0.999999) == 1
+def test_the_floor_follows_the_recall():
+    assert N.floor_depth(0.8, 24, 0.999) == 6 and N.floor_depth(0.8, 24, 0.9999) == 5
+    assert N.floor_depth(0.9, 24, 0.9999) > 5
+    assert N.floor_depth(0.8, 1, 0.999999) == 1
+
+
+def _forest(spark, labels, **kw):
+    """Ties of some sets with given labels: a list of tuples of bytes for each tree."""
+    value = lambda label: int.from_bytes(bytes(label), "big", signed=True)
+    frame = spark.createDataFrame([(rep, [value(x) for x in of]) for rep, of in labels.items()], "rep long, labels array<long>")
+    return {(r.a, r.b) for r in N.ties(frame, kw.get("threshold", 0.8), len(next(iter(labels.values()))), kw.get("recall", 0.9999)).collect()}
+
+
+def test_ties_join_what_shares_a_prefix(spark):
+    """Components of the ties at the floor are those of sets that share a prefix of that length in some tree."""
+    rng = random.Random(9)
+    trees = 6
+    floor = N.floor_depth(0.8, trees, 0.9)
+    labels = {i: [tuple(rng.choice((7, 250)) for _ in range(8)) for _ in range(trees)] for i in range(30)}
+    got = _forest(spark, labels, recall=0.9)
+
+    def parts(pairs):
+        root = {i: i for i in labels}
+        for _ in labels:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    # at most what the floor joins, and all that whole labels join
+    shared = lambda d: [(a, b) for a in labels for b in labels if a < b and any(x[:d] == y[:d] for x, y in zip(labels[a], labels[b], strict=True))]
+    at_floor, whole, mine = parts(shared(floor)), parts(shared(8)), parts(got)
+    assert all(at_floor[a] == at_floor[b] for a, b in got)
+    assert all(mine[a] == mine[b] for a, b in shared(8)) and len(set(whole.values())) >= len(set(mine.values()))
+    # none of these sets has similar partners, so all go down to the floor
+    assert mine == at_floor
+
+
+def test_prefixes_are_shortened_only_as_far_as_needed(spark):
+    """Sets that agree in nearly all trees stop at long prefixes, so that one short prefix in common doesn't tie two groups."""
+    trees = 24
+    one = {i: [(1, 2, 3, 4, 5, 6, 7, t) for t in range(trees)] for i in (1, 2, 3)}
+    two = {i: [(9, 2, 3, 4, 5, 6, 7, t) for t in range(trees)] for i in (11, 12, 13)}
+    for labels in two.values():
+        labels[0] = (1, 2, 3, 4, 5, 99, 99, 99)  # five components in common with the first group
+    got = _forest(spark, one | two)
+    assert {(2, 1), (12, 11)} <= got and not any(a > 10 > b for a, b in got)
+    # a set of which nothing is known goes down to the floor
+    alone = {20: [(1, 2, 3, 4, 5, 77, 77, 77)] + [(50 + t, 2, 3, 4, 5, 6, 7, 8) for t in range(trees - 1)]}
+    assert any(a == 20 or b == 20 for a, b in _forest(spark, one | alone))
+
+
+def test_tasks_meet_at_their_seams(spark):
+    labels = {i: [(1, 2, 3, 4, 5, 6, 7, 8)] * 24 for i in range(200)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = _forest(spark, labels)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    root = {i: i for i in labels}
+    for _ in range(20):
+        for a, b in got:
+            root[a] = root[b] = min(root[a], root[b])
+    assert set(root.values()) == {0}
+
+
+def test_recall_at_the_threshold(spark):
+    """Of pairs just above the threshold at least 99 of a hundred are found."""
+    rng = random.Random(11)
+    rows, near = [], 0
+    for k in range(300):
+        base = [f"b{k}x{i}" for i in range(204)]
+        other = list(base)
+        for at in rng.sample(range(10, 194, 6), 4):
+            other[at] = f"e{k}x{at}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        a, b = (frozenset(tuple(w[i : i + 5]) for i in range(200)) for w in (base, other))
+        near += len(a & b) >= 0.8 * len(a | b)
+    got = N.joined(docs(spark, rows)).filter("n_links > 0").count() / 2
+    assert near == 300 and got >= 0.99 * near
 
 
 def test_components_of_a_chain(spark):
