@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._cluster import checkpoint, salted_join
+from tessera.llm._cluster import checkpoint, salted_join, table_of
 
 #: Slots of one bitmap, as Spark's bitmap functions have them, and slots for each row.
 BITS, LOAD = 1 << 15, 2
@@ -160,22 +160,24 @@ def _slotted(docs: DataFrame, buckets: int) -> DataFrame:
 
 def index(docs: DataFrame, rules: tuple[Rule, ...], buckets: int) -> DataFrame:
     """The inverted index: trigram, bucket, postings (a bitmap of the bucket's slots)."""
-    found = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(t)), F.lit(t)) for t in named(rules)]))
-    rows = _slotted(docs, buckets).select("bucket", "bit", F.explode(found).alias("trigram"))
+    # the lower-cased text is made once for all trigrams
+    low = _slotted(docs, buckets).select("bucket", "bit", F.lower("text").alias("low"))
+    found = low.select("bucket", "bit", F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in named(rules)])).alias("found"))
+    rows = found.select("bucket", "bit", F.explode_outer("found").alias("trigram")).filter("trigram IS NOT NULL")  # explode() would look twice
     return rows.groupBy("trigram", "bucket").agg(F.bitmap_construct_agg("bit").alias("postings"))
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...], buckets: int) -> DataFrame:
     """A row for each bucket: of each rule that has a trigram query the candidates' bitmap, null if there are none."""
     spark = postings.sparkSession
-    wanted = [(i, c, len(choice), t) for i, r in enumerate(rules) for c, choice in enumerate(sorted(indexed_query(r.pattern), key=sorted)) for t in choice]
+    wanted = [{"rule": i, "choice": c, "size": len(choice), "trigram": t} for i, r in enumerate(rules) for c, choice in enumerate(sorted(indexed_query(r.pattern), key=sorted)) for t in choice]
     held = spark.range(buckets).withColumnRenamed("id", "bucket")
     if not wanted:
         return held
-    of = F.broadcast(spark.createDataFrame(wanted, "rule int, choice int, size int, trigram string"))
+    of = F.broadcast(table_of(spark, wanted, "rule int, choice int, size int, trigram string"))
     both = postings.join(of, "trigram").groupBy("bucket", "rule", "choice", "size").agg(F.bitmap_and_agg("postings").alias("all"), F.count("*").alias("n")).filter("n = size")
     any_ = both.groupBy("bucket", "rule").agg(F.bitmap_or_agg("all").alias("any")).filter(F.bitmap_count("any") > 0)
-    by_rule = any_.groupBy("bucket").agg(*[F.max(F.when(F.col("rule") == i, F.col("any"))).alias(f"c{i}") for i in sorted({w[0] for w in wanted})])
+    by_rule = any_.groupBy("bucket").agg(*[F.max(F.when(F.col("rule") == i, F.col("any"))).alias(f"c{i}") for i in sorted({w["rule"] for w in wanted})])
     return held.join(by_rule, "bucket", "left")
 
 
