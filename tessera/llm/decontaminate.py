@@ -5,7 +5,9 @@ window's shingles are its runs of three words (fewer in shorter windows), ordere
 documents, which is counted over all of them. As exact containment is asked for, one shingle is a sufficient prefix:
 the rarest. A window whose rarest shingle occurs nowhere cannot occur and leaves the join. The documents' shingles
 are joined with these prefixes by hash; the length and positional bounds and then the window's words themselves are
-compared in the join's condition, so only true occurrences leave it and a document's words are never shuffled.
+compared in the join's condition, so only true occurrences leave it and a document's words are never shuffled. Prefixes
+are broadcast in parts of at most `BROADCAST_ROWS` rows and about `BROADCAST_BYTES` bytes, with one reading of the
+documents for each; they name their windows by number, and the items of a window join the occurrences afterwards.
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless item has no windows; an empty
 benchmark leaves every document clean; repeated rows are each returned; rows that share doc_id but not text are told
@@ -20,10 +22,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._cluster import BROADCAST_ROWS, checkpoint, small
+from tessera.llm._cluster import BROADCAST_ROWS, checkpoint, salted_join, small
 
 WINDOW = 10
 SHINGLE = 3
+#: Bytes of one broadcast part.
+BROADCAST_BYTES = 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The key of the row that each document adds after its words, and which the prefixes always hold.
@@ -46,20 +50,20 @@ def _key(parts: Column, at: Column, width: int) -> Column:
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The distinct windows: window (its words), length, items (sorted ids)."""
+    """The distinct windows: id (a number), window (its words), length, items (sorted ids)."""
     cut = benchmark.select("item_id", F.array_remove(pieces(F.col("text")), "").alias("words")).filter(F.size("words") > 0)
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0))))
-    return (
+    found = (
         cut.select("item_id", "words", at.alias("at"))
         .select("item_id", F.slice("words", F.col("at") + 1, window).alias("window"))
         .groupBy("window")
         .agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-        .withColumn("length", F.size("window"))
     )
+    return checkpoint(found.select(F.monotonically_increasing_id().alias("id"), "window", F.size("window").alias("length"), "items"))
 
 
 def _shingled(found: DataFrame) -> DataFrame:
-    """A row for each shingle of each window: key, width, ahead (its place in the window)."""
+    """A row for each shingle of each window: id, key, width, ahead (its place in the window)."""
     width = F.least(F.col("length"), F.lit(SHINGLE))
     keys = F.coalesce(*[F.when(width == w, _key(F.col("window"), F.col("ahead"), w)) for w in range(1, SHINGLE + 1)])
     return (
@@ -83,17 +87,24 @@ def _places(documents: DataFrame, width: int, closing: bool) -> DataFrame:
     return rows.withColumn("key", key)
 
 
-def _parts(table: DataFrame, rows: int) -> list[DataFrame]:
-    """The table in as many parts as broadcasts need; the documents are read once for each."""
-    parts = max(1, -(-rows // BROADCAST_ROWS))
+def _parts(table: DataFrame, size: tuple[int, int]) -> list[DataFrame]:
+    """The table in as many parts as broadcasts need for so many rows and bytes; the documents are read once for each."""
+    parts = max(1, -(-size[0] // BROADCAST_ROWS), -(-size[1] // BROADCAST_BYTES))
     return [table.filter(F.pmod("key", F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [table]
 
 
-def occurrences(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Every occurrence of a window: doc_id, text_key, n_words, start, stop, items; start is null in each row's closing line."""
-    shingled = checkpoint(_shingled(windows(benchmark, window)))
+def _size(table: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of the windows' words with 64 more for each row and 16 for each word."""
+    words = F.aggregate("window", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 16)
+    rows, size = table.agg(F.count("*"), F.coalesce(F.sum(words + 64), F.lit(0))).first()
+    return rows, size
+
+
+def occurrences(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """Every occurrence of a window: doc_id, text_key, n_words, start, stop, id; start is null in each row's closing line. found: windows()."""
+    shingled = checkpoint(_shingled(found.select("id", "window", "length")))
     widths = sorted(r[0] for r in shingled.select("width").distinct().collect())  # 1 to SHINGLE
-    total = shingled.count()
+    total = (shingled.count(), 0)  # a key is a number
     counted = []
     for w in widths:
         keys = shingled.filter(F.col("width") == w).select("key").distinct()
@@ -101,24 +112,24 @@ def occurrences(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW
             counted.append(_places(documents, w, False).select("key").join(F.broadcast(part), "key", "left_semi").groupBy("key").agg(F.count("*").alias("seen")).withColumn("width", F.lit(w)))
     lines = []
     closing = documents.sparkSession.range(1).select(
-        F.lit(_CLOSING).cast("long").alias("key"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("ahead"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id")
-    ).select("key", "window", "length", "ahead", F.array("item_id").alias("items"))
+        F.lit(_CLOSING).cast("long").alias("key"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("int").alias("ahead"), F.lit(None).cast("long").alias("id")
+    )
     if counted:
         seen = reduce(DataFrame.unionByName, counted)
         rarest = (
             shingled.join(seen, ["key", "width"], "left")
-            .groupBy("window", "length", "items", "width")
+            .groupBy("id", "width")
             .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "key", "ahead")).alias("first"))
             .filter(F.col("first.seen") > 0)
         )
-        prefixes = checkpoint(rarest.select("width", "length", "window", "items", "first.key", "first.ahead"))
-        rows = prefixes.count()
+        prefixes = checkpoint(rarest.select("id", "width", "first.key", "first.ahead").join(found.select("id", "window", "length"), "id"))
+        size = _size(prefixes)
     else:
-        widths, prefixes, rows = [SHINGLE], None, 0
+        widths, prefixes, size = [SHINGLE], None, (0, 0)
     first = True
     for w in widths:
-        table = closing.filter(F.lit(False)) if prefixes is None else prefixes.filter(F.col("width") == w).select("key", "window", "length", "ahead", "items")
-        for part in _parts(table, rows):
+        table = closing.filter(F.lit(False)) if prefixes is None else prefixes.filter(F.col("width") == w).select("key", "window", "length", "ahead", "id")
+        for part in _parts(table, size):
             near = _places(documents, w, first)
             part = part.unionByName(closing) if first else part
             n, begin = F.size("words"), F.col("at") - F.col("ahead")
@@ -128,22 +139,23 @@ def occurrences(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW
             # named apart, so that the condition can stand in the join
             near = near.withColumnRenamed("key", "place_key")
             good = (near["place_key"] == part["key"]) & ((F.col("word").isNull() & F.col("window").isNull()) | (F.col("word").isNotNull() & inside & same))
-            lines.append(near.join(F.broadcast(part), good).select("doc_id", "text_key", (n - head - tail).cast("long").alias("n_words"), F.when(F.col("window").isNotNull(), begin).alias("start"), (begin + F.col("length")).alias("stop"), "items"))
+            lines.append(near.join(F.broadcast(part), good).select("doc_id", "text_key", (n - head - tail).cast("long").alias("n_words"), F.when(F.col("window").isNotNull(), begin).alias("start"), (begin + F.col("length")).alias("stop"), "id"))
             first = False
     return reduce(DataFrame.unionByName, lines)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of documents: doc_id, n_words, n_hit, n_items, items (their ids as sorted strings), contaminated."""
+    found = windows(benchmark, window)
     span = F.struct("start", "stop")
-    by_text = (
-        occurrences(documents, benchmark, window)
+    by_text = checkpoint(
+        occurrences(documents, found)
         .groupBy("doc_id", "text_key")
         .agg(
             F.count_if(F.col("start").isNull()).alias("copies"),
             F.max("n_words").alias("n_words"),
             F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), span))).alias("spans"),
-            F.collect_set(F.when(F.col("start").isNotNull(), F.col("items"))).alias("items"),
+            F.collect_set("id").alias("windows"),
         )
     )
     covered = F.aggregate(
@@ -151,15 +163,18 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto")),
         lambda a, s: F.struct((a["n"] + F.greatest(s["stop"] - F.greatest(s["start"], a["upto"]), F.lit(0))).cast("long").alias("n"), F.greatest(a["upto"], s["stop"]).alias("upto")),
     )["n"]
-    ids = F.array_sort(F.transform(F.array_distinct(F.flatten("items")), lambda x: x.cast("string")))
-    return by_text.select(
-        "doc_id", "n_words", covered.alias("n_hit"), F.size("spans").alias("n_spans"), ids.alias("items"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one")
+    hit = by_text.filter(F.size("windows") > 0).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), F.explode("windows").alias("id"))
+    listed = salted_join(hit, found.select("id", "items"), "id", "hit_key").select("hit_id", "hit_key", F.explode("items").alias("item"))
+    listed = listed.groupBy("hit_id", "hit_key").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    rows = by_text.join(listed, by_text["doc_id"].eqNullSafe(listed["hit_id"]) & (by_text["text_key"] == listed["hit_key"]), "left")
+    return rows.select(
+        "doc_id", "n_words", covered.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one")
     ).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any hit, with their columns. Rows of one doc_id and text stand or fall together."""
-    hits = checkpoint(occurrences(documents, benchmark, window).filter(F.col("start").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
+    hits = checkpoint(occurrences(documents, windows(benchmark, window)).filter(F.col("start").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
     hits = small(hits, hits.count())
     key = F.xxhash64(F.coalesce(documents["text"], F.lit("")))
     return documents.join(hits, documents["doc_id"].eqNullSafe(hits["_id"]) & (key == hits["_key"]), "left_anti")
