@@ -65,6 +65,20 @@ def test_more_windows_than_a_broadcast_takes(spark, monkeypatch):
     assert run(spark, rows, items) == brute(rows, items)
 
 
+def test_windows_of_more_bytes_than_a_broadcast_takes(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 300)
+    rows = [(i, " ".join(f"{'long' * 20}{j}" for j in range(i, i + 14))) for i in range(8)]
+    items = [(i, rows[i][1]) for i in (0, 3, 5)]
+    assert run(spark, rows, items) == brute(rows, items)
+
+
+def test_one_window_in_many_items_and_documents(spark):
+    passage = "a b c d e f g h i j"
+    rows = [(i, f"x{i} {passage} y{i}") for i in range(60)] + [(99, "clean")]
+    items = [(i, f"{passage} z{i}") for i in range(40)]
+    assert run(spark, rows, items) == brute(rows, items)
+
+
 def test_clean_documents_stay(spark):
     rows = [(1, "this is clean"), (2, None), (3, "leaks a b c d e f g h i j here"), (4, "A, B; c d e f g h i j"), (None, "")]
     bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
