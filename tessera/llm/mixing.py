@@ -255,9 +255,8 @@ def _taken(draws: Column) -> Column:
 _word = re.compile(_WORD)
 
 
-def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
-    """The words of a text from first to before last of each span, with what stands between them."""
-    at = [m.span() for m in _word.finditer(text)]
+def cut_text(text: str, at: list[tuple[int, int]], spans: list[tuple[int, int]]) -> str:
+    """The words of a text from first to before last of each span, with what stands between them. at: where each word is."""
     if spans == [(0, len(at))]:
         return text
     return "\n".join(text[at[a][0] : at[b - 1][1]] for a, b in spans)
@@ -296,8 +295,10 @@ def mixed(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK_WORDS, seed:
                 taken: dict[tuple[int, int], list[dict]] = {}
                 for d in draws:
                     taken.setdefault((d["pass"], d["shard"]), []).append(d)
+                whole = text.as_py()
+                words_at = [m.span() for m in _word.finditer(whole)]
                 for (_, shard), of in sorted(taken.items()):
-                    texts.append(cut_text(text.as_py(), _joined([(d["start"], d["stop"]) for d in of])))
+                    texts.append(cut_text(whole, words_at, _joined([(d["start"], d["stop"]) for d in of])))
                     at.append(i)
                     where.append((shard, min(d["place"] for d in of)))
             columns = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(batch.num_columns - 1)]
