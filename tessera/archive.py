@@ -67,6 +67,10 @@ class Archive:
     def _event(self, kind: str, at_ms: int, detail: str) -> None:
         self._append("events", self.spark.createDataFrame([(kind, at_ms, detail)], TABLES["events"]))
 
+    def _sweep(self) -> None:
+        fs, path = self._fs()
+        fs.delete(path(f"{self.path}/_staging"), True)
+
     def backup(self, roots: list[str], now_ms: int, owner: str | None = None, target: int = 1 << 20, codec: str = "escalate", auto_prune: bool = False) -> dict:
         """Takes a snapshot of some folders; returns its id and the ledger.
 
@@ -77,6 +81,7 @@ class Archive:
         held = self.table("snapshots")
         incremental = not held.isEmpty()  # of any owner: their chunks serve all
         chosen = next(p for p in policy.POLICIES if p.name == codec)
+        self._sweep()  # what a backup that failed has left
         staging = f"{self.path}/_staging/{uuid.uuid4().hex}"
         files = read_tree(self.spark, *roots, content=False)
         chunking.streamed(dealt(files), opener(tuple(roots)), [target], with_data=True).write.parquet(staging)
@@ -89,11 +94,12 @@ class Archive:
 
         fresh = chunks.select("chunk_id", F.col("len").alias("chunk_len"), "data").join(self.table("chunks").select("chunk_id"), "chunk_id", "left_anti").dropDuplicates(["chunk_id"])
         self._append("chunks", fresh.mapInPandas(encode, TABLES["chunks"]))
-        self._append("refs", chunks.select(F.lit(snapshot_id).alias("snapshot_id"), "path", "seq", "chunk_id"))
+        own = self.spark.createDataFrame([(snapshot_id, now_ms, owner)], TABLES["snapshots"])
+        own, refs = S.put_snapshot(held, self.table("chunks"), own, chunks.select(F.lit(snapshot_id).alias("snapshot_id"), "path", "seq", "chunk_id"))
+        self._append("refs", refs)
         self._append("files", files.withColumn("snapshot_id", F.lit(snapshot_id)))
-        self._append("snapshots", self.spark.createDataFrame([(snapshot_id, now_ms, owner)], TABLES["snapshots"]))
-        fs, path = self._fs()
-        fs.delete(path(staging), True)
+        self._append("snapshots", own)
+        self._sweep()
         self._event("backup", now_ms, snapshot_id)
         if auto_prune:
             self.prune(now_ms, mode="auto")

@@ -50,13 +50,19 @@ def acknowledged(chunk_index: DataFrame, incoming: DataFrame) -> DataFrame:
     return each.agg(stored.alias("stored"), (F.coalesce(F.sum("n"), F.lit(0)) - stored).cast("long").alias("already_present"))
 
 
+def put_outcomes(snapshots: DataFrame, chunk_index: DataFrame, incoming: DataFrame, refs: DataFrame) -> DataFrame:
+    """What becomes of each incoming snapshot: refused if its id is taken or one of its references is unknown, else ok."""
+    taken = snapshots.select("snapshot_id", F.lit(True).alias("taken"))
+    bad = unknown_refs(refs, chunk_index).groupBy("snapshot_id").agg(F.lit(True).alias("bad"))
+    outcome = F.when(F.col("taken"), "duplicate_snapshot").when(F.col("bad"), "unknown_ref").otherwise("ok")
+    return incoming.join(taken, "snapshot_id", "left").join(bad, "snapshot_id", "left").select("snapshot_id", outcome.alias("outcome"))
+
+
 def put_snapshot(snapshots: DataFrame, chunk_index: DataFrame, snapshot: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows to append for one snapshot; reading them fails if its id is taken or a reference is unknown."""
-    taken = snapshot.join(snapshots, "snapshot_id", "left_semi").limit(1).count()
-    if taken:
-        raise ValueError("duplicate_snapshot")
-    if unknown_refs(refs, chunk_index).limit(1).count():
-        raise ValueError("unknown_ref")
+    """The rows to append for one snapshot; an error if its id is taken or a reference is unknown."""
+    refused = put_outcomes(snapshots, chunk_index, snapshot, refs).filter("outcome <> 'ok'").first()
+    if refused:
+        raise ValueError(refused.outcome)
     return snapshot, refs
 
 

@@ -156,6 +156,12 @@ def upload_ack(s, d):
     return store.acknowledged(V.chunk_index(s, d).filter("chunk_id % 4 <> 1"), V.refs(s, d).select("chunk_id"))
 
 
+def put_snapshots(s, d):
+    """Which snapshots a store that holds a fifth of them, and not all of their chunks, takes."""
+    every = V.snapshots(s, d)
+    return store.put_outcomes(every.filter("snapshot_id % 5 = 0"), V.chunk_index(s, d).filter("chunk_id % 29 <> 0"), every.select("snapshot_id"), V.refs(s, d))
+
+
 def delete_snapshot(s, d):
     gone = V.snapshots(s, d).filter("snapshot_id % 17 = 0").select("snapshot_id")
     left, refs = store.delete_snapshots(V.snapshots(s, d), V.refs(s, d), gone)
@@ -276,6 +282,10 @@ SELECT chunk_id, marked AS marked_ms, swept AS swept_ms FROM f WHERE r = 7""",
     "has_chunks": (has_chunks, with_sql("refs", "chunk_index") + " SELECT snapshot_id * 10 + seq AS pos, chunk_id FROM refs WHERE chunk_id NOT IN (SELECT chunk_id FROM chunk_index WHERE chunk_id % 4 <> 1)"),
     "put_chunks": (put_chunks, with_sql("refs", "chunk_index") + " SELECT DISTINCT chunk_id, chunk_id % 50 AS chunk_len FROM refs WHERE chunk_id NOT IN (SELECT chunk_id FROM chunk_index WHERE chunk_id % 4 <> 1)"),
     "upload_ack": (upload_ack, with_sql("refs", "chunk_index") + " SELECT count(DISTINCT chunk_id) FILTER (NOT held) AS stored, count(*) - count(DISTINCT chunk_id) FILTER (NOT held) AS already_present FROM (SELECT chunk_id, chunk_id IN (SELECT chunk_id FROM chunk_index WHERE chunk_id % 4 <> 1) AS held FROM refs)"),
+    "put_snapshots": (
+        put_snapshots,
+        with_sql("snapshots", "refs", "chunk_index") + " SELECT snapshot_id, CASE WHEN snapshot_id % 5 = 0 THEN 'duplicate_snapshot' WHEN snapshot_id IN (SELECT snapshot_id FROM refs WHERE chunk_id NOT IN (SELECT chunk_id FROM chunk_index WHERE chunk_id % 29 <> 0)) THEN 'unknown_ref' ELSE 'ok' END AS outcome FROM snapshots",
+    ),
     "delete_snapshot": (delete_snapshot, with_sql("refs", "chunk_index") + " SELECT CAST(sum(n) AS BIGINT) AS refs, count(*) FILTER (n = 0) AS zero, max(n) AS most FROM (SELECT i.chunk_id, count(r.chunk_id) AS n FROM chunk_index i LEFT JOIN (SELECT * FROM refs WHERE snapshot_id % 17 <> 0) r USING (chunk_id) GROUP BY i.chunk_id)"),
     "delete_chunk": (
         delete_chunk,
