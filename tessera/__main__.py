@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--snapshots", type=int)
     c.add_argument("--compression", action="store_true")
     c.add_argument("--assume-churn", type=float)
-    c.add_argument("--threads", type=int, default=1)
+    c.add_argument("--threads", type=int, help="as many as run at once, if not given")
     c.add_argument("--links", type=int, nargs="+", default=list(policy.BANDWIDTHS))
     c.add_argument("--json", action="store_true")
     a = p.parse_args(argv)

@@ -42,6 +42,25 @@ def parse_id(text: Column) -> Column:
     return F.when(text.rlike("^[0-9a-fA-F]{64}$"), F.unhex(text))
 
 
+def parse_base64(text: Column) -> Column:
+    """The bytes of standard base64, spaces and line ends left out and the padding optional; null if it isn't that."""
+    clean = F.regexp_replace(text, r"\s", "")
+    body = F.regexp_extract(clean, "^([A-Za-z0-9+/]*)={0,2}$", 1)
+    padded = F.rpad(body, F.ceil(F.length(body) / 4).cast("int") * 4, F.lit("="))
+    return F.when(clean.rlike("^[A-Za-z0-9+/]*={0,2}$") & (F.length(body) % 4 != 1), F.unbase64(padded))
+
+
+def pem_text(raw: Column, label: str) -> Column:
+    """Bytes between a label's lines, as base64 in lines of 64."""
+    body = F.regexp_replace(F.regexp_replace(F.base64(raw), r"\s", ""), "(.{64})(?=.)", "$1\n")
+    return F.concat(F.lit(f"-----BEGIN {label}-----\n"), body, F.lit(f"\n-----END {label}-----\n"))
+
+
+def parse_pem(text: Column) -> Column:
+    """The bytes between the lines that begin with dashes; null if they aren't base64."""
+    return parse_base64(F.regexp_replace(text, "(?m)^-----.*$", ""))
+
+
 def id_ok(raw: Column, size: int = 32) -> Column:
     return F.coalesce(F.octet_length(raw) == size, F.lit(False))
 

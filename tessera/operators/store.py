@@ -180,8 +180,8 @@ def spend(tokens: DataFrame, shown: DataFrame) -> DataFrame:
     return shown.join(good, "pos", "left").select("pos", "token", F.coalesce("good", F.lit(False)).alias("spent"))
 
 
-def verified(wanted: DataFrame, objects: DataFrame) -> DataFrame:
-    """The outcome of reading each wanted chunk: ok, missing, length_mismatch or hash_mismatch.
+def verified(wanted: DataFrame, objects: DataFrame, strict: bool = False) -> DataFrame:
+    """The outcome of reading each wanted chunk: ok, missing, length_mismatch or hash_mismatch; an error if strict and not ok.
 
     wanted: chunk_id (hex), chunk_len; objects: chunk_id, data.
     """
@@ -191,4 +191,7 @@ def verified(wanted: DataFrame, objects: DataFrame) -> DataFrame:
         .when(formats.content_id(F.col("data")) != F.col("chunk_id"), "hash_mismatch")
         .otherwise("ok")
     )
-    return wanted.join(objects, "chunk_id", "left").select("chunk_id", outcome.alias("outcome"))
+    rows = wanted.join(objects, "chunk_id", "left").select("chunk_id", outcome.alias("outcome"))
+    if strict:
+        rows = rows.withColumn("outcome", F.when(F.col("outcome") == "ok", F.col("outcome")).otherwise(F.raise_error(F.concat_ws(": ", "chunk_id", "outcome")).cast("string")))
+    return rows

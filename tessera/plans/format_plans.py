@@ -71,6 +71,14 @@ def id_parse(s, d):
     return texts.select("chunk_id", f.id_hex(f.parse_id(odd)).alias("parsed"))
 
 
+def pem_parse(s, d):
+    """Names sent as text in lines, of which some are damaged, read back as bytes."""
+    rows = V.table(s, d, "customer").select("c_custkey", f.pem_text(F.repeat("c_name", 5).cast("binary"), "NAME").alias("pem"))
+    k = F.col("c_custkey")
+    sent = F.when(k % 7 == 0, F.regexp_replace("pem", "NAME-----\n.", "NAME-----\n*")).when(k % 7 == 1, F.translate("pem", "=", "")).when(k % 7 == 2, F.regexp_replace("pem", "\n", "\r\n")).otherwise(F.col("pem"))
+    return rows.select("c_custkey", f.id_hex(f.parse_pem(sent)).alias("bytes"))
+
+
 def path_safety(s, d):
     return _values(s, "string", _PATHS).select("x", f.safe_path(F.col("x")).alias("safe"))
 
@@ -230,6 +238,7 @@ QUERIES = {
         "SELECT doc_id, sha256(unhex('" + bytes(b ^ 0x5C for b in (b"k" * 32).ljust(64, b"\0")).hex() + "') || unhex(sha256(unhex('" + bytes(b ^ 0x36 for b in (b"k" * 32).ljust(64, b"\0")).hex() + "') || encode(coalesce(text, ''))))) AS chunk_id FROM documents",
     ),
     "id_parse": (id_parse, with_sql("chunk_index") + " SELECT chunk_id, CASE WHEN chunk_id % 5 NOT IN (1, 2) THEN sha256(CAST(chunk_id AS VARCHAR)) END AS parsed FROM chunk_index"),
+    "pem_parse": (pem_parse, "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE lower(hex(encode(repeat(c_name, 5)))) END AS bytes FROM customer"),
     "path_safety": (path_safety, rf"SELECT x, x <> '' AND NOT regexp_matches(x, '[\x00\\]') AND NOT regexp_matches(x, '^[A-Za-z]:') AND NOT list_has_any(string_split(x, '/'), ['', '.', '..']) AS safe FROM {_list(_PATHS)}"),
     "file_classes": (file_classes, f"SELECT x, {_CLASS.format(e=_EXT.format(p='x'))} AS class FROM {_list(_NAMES)}"),
     "file_class_totals": (file_class_totals, with_sql("files") + f" SELECT {_CLASS.format(e=_EXT.format(p='path'))} AS class, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY 1"),

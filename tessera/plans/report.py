@@ -14,7 +14,7 @@ from tessera.sources.tree import dealt, opener, read_tree
 SIZES = (256 << 10, 512 << 10, 1 << 20, 2 << 20, 4 << 20)
 
 
-def sizing_report(spark: SparkSession, root: str, sizes: tuple[int, ...] = SIZES, baseline: str | None = None, snapshots: int | None = None, compression: bool = False, churn_pct: float | None = None, threads: int = 1, links: tuple[int, ...] = policy.BANDWIDTHS) -> dict:
+def sizing_report(spark: SparkSession, root: str, sizes: tuple[int, ...] = SIZES, baseline: str | None = None, snapshots: int | None = None, compression: bool = False, churn_pct: float | None = None, threads: int | None = None, links: tuple[int, ...] = policy.BANDWIDTHS) -> dict:
     """Rows for each candidate size and the recommended one; for a single candidate with compression also measured rates and what each policy stores and costs."""
     sizes = sizing.candidates(list(sizes))
     if compression and len(sizes) != 1:
@@ -30,7 +30,7 @@ def sizing_report(spark: SparkSession, root: str, sizes: tuple[int, ...] = SIZES
     best = sizing.recommend(rows.select("target_size", "cost")).first()
     out["recommended"] = best.target_size if best else None
     if compression:
-        out |= _compression(files, chunks, before, root, sizes[0], out["candidates"][0], churn_pct, threads, links)
+        out |= _compression(files, chunks, before, root, sizes[0], out["candidates"][0], churn_pct, threads or spark.sparkContext.defaultParallelism, links)
     return out
 
 

@@ -42,6 +42,15 @@ def test_ids(spark):
     assert one(spark, "binary", [bytes(32), bytes(31), None], f.id_ok) == [True, False, False]
 
 
+def test_text_forms_of_bytes(spark):
+    raw = [b"", b"a", b"ab", b"abc", bytes(range(256))]
+    back = one(spark, "binary", raw, lambda c: f.parse_pem(f.pem_text(c, "X")))
+    assert [bytes(x) for x in back] == raw
+    (text,) = one(spark, "binary", [bytes(100)], lambda c: f.pem_text(c, "X"))
+    assert max(map(len, text.split("\n"))) == 64 and text.startswith("-----BEGIN X-----\n")
+    assert [x if x is None else bytes(x) for x in one(spark, "string", ["YQ", " Y Q=\n=", "Y", "YQ===", "Y*Q=", "YWI=", None], f.parse_base64)] == [b"a", b"a", None, None, None, b"ab", None]
+
+
 def test_frames_and_seals(spark):
     assert one(spark, "binary", [b"\x00a", b"\x01b", b"\x02c", b""], f.frame_codec) == [0, 1, None, None]
     assert [bytes(x) for x in one(spark, "binary", [b"\x00abc", b"\x01"], f.frame_payload)] == [b"abc", b""]

@@ -75,3 +75,11 @@ def test_tokens_are_spent_once(spark):
     tokens = spark.createDataFrame([("t",)], "token string")
     shown = spark.createDataFrame([(0, "t"), (1, "t"), (2, "u")], "pos int, token string")
     assert [r.spent for r in store.spend(tokens, shown).orderBy("pos").collect()] == [True, False, False]
+
+
+def test_strict_reads_fail(spark):
+    wanted = spark.createDataFrame([("aa", 1)], "chunk_id string, chunk_len long")
+    none = spark.createDataFrame([], "chunk_id string, data binary")
+    assert store.verified(wanted, none).first().outcome == "missing"
+    with pytest.raises(Exception, match="aa: missing"):
+        store.verified(wanted, none, strict=True).collect()
