@@ -7,8 +7,8 @@ takes the term's place wherever it stands. The copies' features are those of the
 `PENALTY` times the mean squared change of the score's logit from a text to its copies, so a mention of a group moves
 the score as little as the labels allow. A text without identity terms has no copies and adds nothing.
 
-Fitting uses at most `SAMPLE_ROWS` rows of each class; the class shares come from all training labels. A curve fitted
-on rows left out of the first fit calibrates the score. Scoring reads every word of every text.
+Fitting uses at most `SAMPLE_ROWS` rows of each class; the class shares come from all training labels. A quarter of
+these rows only fits the curve that calibrates the score. Scoring reads every word of every text.
 
 Defined results: null, empty and wordless texts have no features and get the score of the intercept; with one class or
 none among the labels every score is the share of toxic labels (0 without labels); repeated rows are scored alike; an
@@ -122,11 +122,14 @@ class _Rows:
         self.owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         self.at = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
         self.values = np.concatenate(values) if values else None
+        self.width = BUCKETS
 
-    def keep(self, wanted: np.ndarray) -> None:
-        """Only entries of wanted columns stay."""
-        some = wanted[self.at]
-        self.owner, self.at = self.owner[some], self.at[some]
+    def narrow(self, place: np.ndarray, width: int) -> None:
+        """Columns get new places; entries of those without one (-1) go."""
+        some = place[self.at] >= 0
+        self.owner, self.at, self.width = self.owner[some], place[self.at[some]], width
+        if self.values is not None:
+            self.values = self.values[some]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         x = w[self.at] if self.values is None else w[self.at] * self.values
@@ -134,7 +137,7 @@ class _Rows:
 
     def back(self, g: np.ndarray) -> np.ndarray:
         x = g[self.owner] if self.values is None else g[self.owner] * self.values
-        return np.bincount(self.at, x, BUCKETS)
+        return np.bincount(self.at, x, self.width)
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, swaps: list[np.ndarray], penalty: float = PENALTY) -> tuple[np.ndarray, float]:
@@ -150,18 +153,22 @@ def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, swaps: list
     ratio = np.log((ones + SHRINK * share) / (SHRINK * share)) - np.log((seen - ones + SHRINK * (1 - share)) / (SHRINK * (1 - share)))
     ratio -= np.log((len(y) * share + SHRINK * share) / (SHRINK * share)) - np.log((len(y) * (1 - share) + SHRINK * (1 - share)) / (SHRINK * (1 - share)))
     ratio[(seen == 0) | (np.abs(ratio) < LEAST)] = 0.0
-    x.keep(ratio != 0)
+    columns = np.flatnonzero(ratio)
+    ratio, place = ratio[columns], np.full(BUCKETS, -1, np.int32)
+    place[columns] = np.arange(len(columns))
+    for held in (x, swapped) if swapped is not None else (x,):
+        held.narrow(place, len(columns))
     g = weight / weight.sum()
 
     def curved(v: np.ndarray) -> np.ndarray:
         out = ratio * x.back(0.25 * g * x.dot(ratio * v)) + RIDGE * v
         return out if swapped is None else out + 2 * penalty / swapped.n * ratio * swapped.back(swapped.dot(ratio * v))
 
-    v, top = np.ones(BUCKETS), 1.0
+    v, top = np.ones(len(columns)), 1.0
     for _ in range(15):
         v = curved(v / max(1e-300, np.linalg.norm(v)))
         top = max(RIDGE, float(np.linalg.norm(v)))
-    u, ahead, b = np.zeros(BUCKETS), np.zeros(BUCKETS), float(np.log((g * y).sum() / (g * (1 - y)).sum()))
+    u, ahead, b = np.zeros(len(columns)), np.zeros(len(columns)), float(np.log((g * y).sum() / (g * (1 - y)).sum()))
     for step in range(STEPS):
         z = x.dot(ratio * ahead) + b
         off = g * (sigmoid(z) - y)
@@ -171,7 +178,8 @@ def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, swaps: list
         new = ahead - grad / (1.1 * top)
         ahead, u = new + step / (step + 3) * (new - u), new
         b -= 2.0 * off.sum()
-    w = ratio * u
+    w = np.zeros(BUCKETS)
+    w[columns] = ratio * u
     return w, b
 
 
@@ -206,12 +214,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD
         return Model(None, 0.0, (1.0, 0.0), share)
     weight = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y)
     part = np.arange(len(y)) % 4 == 0
-    curve = (1.0, 0.0)
-    if 0 < y[part].sum() < part.sum() and 0 < y[~part].sum() < (~part).sum():
-        w, b = train([r for r, k in zip(found, part, strict=True) if not k], y[~part], weight[~part], [c for of, k in zip(swaps, part, strict=True) if not k for c in of], penalty)
-        z = _Rows([r for r, k in zip(found, part, strict=True) if k]).dot(w) + b
-        curve = tuple(float(c) for c in logistic(z, y[part], weight[part], ridge=0.1))
-    w, b = train(found, y, weight, [c for of in swaps for c in of], penalty)
+    if not (0 < y[part].sum() < part.sum() and 0 < y[~part].sum() < (~part).sum()):  # too few to keep some apart
+        w, b = train(found, y, weight, [c for of in swaps for c in of], penalty)
+        return Model(w.astype(np.float32), b, (1.0, 0.0), share)
+    w, b = train([r for r, k in zip(found, part, strict=True) if not k], y[~part], weight[~part], [c for of, k in zip(swaps, part, strict=True) if not k for c in of], penalty)
+    z = _Rows([r for r, k in zip(found, part, strict=True) if k]).dot(w) + b
+    curve = tuple(float(c) for c in logistic(z, y[part], weight[part], ridge=0.1))
     return Model(w.astype(np.float32), b, curve, share)
 
 
