@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._cluster import bounded_batches, checkpoint, salted_join, small
+from tessera.llm._cluster import bounded_batches, checkpoint, salted_join, small, table_of
 
 SAMPLE_ROWS = 8192
 SAMPLE_QUERIES = 512
@@ -314,12 +314,17 @@ def indexed(rows: DataFrame, asks: DataFrame, total: int, nearest: int = NEAREST
     levels = 1 + max(0, math.ceil(math.log(max(1.0, total / SPLIT_ROWS), FAN)))
     target = TARGET ** (1 / levels)
     placed, sent = (df.withColumn("part", F.lit(0).cast("long")) for df in (rows, asks))
-    for level in range(levels + 1):  # one more for parts that turn out larger
-        counts = checkpoint(placed.groupBy("part").agg(F.count("*").alias("n")).filter((F.col("n") > (SPLIT_ROWS if level else 1)) & (F.col("part") >= (FAN + 1) ** (level - 1) if level else F.lit(True))))
-        several = counts.count()
-        if not several:
+    for level in range(levels + 1 if total > 1 else 0):  # one more for parts that turn out larger
+        if not level:
+            few = F.broadcast(table_of(rows.sparkSession, [{"part": 0, "n": total}], "part long, n long"))
+        elif total <= SPLIT_ROWS:
             break
-        few = small(counts, several)
+        else:
+            counts = checkpoint(placed.filter(F.col("part") >= (FAN + 1) ** (level - 1)).groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT_ROWS))
+            several = counts.count()
+            if not several:
+                break
+            few = small(counts, several)
         chosen = placed.join(few, "part").filter(F.pmod(F.xxhash64("id", F.lit(level)), "n") < SAMPLE_ROWS + SAMPLE_QUERIES)
         models = checkpoint(chosen.withColumn("nth", F.xxhash64("embedding")).groupBy("part").applyInArrow(_trained(nearest, target, parts), "part long, model binary"))
         fresh = checkpoint(_dealt(placed, few, models, _placed))
@@ -358,7 +363,7 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, parts:
     # of equal vectors the first ids are all that can be answers
     nth = F.row_number().over(W.partitionBy("hash", "embedding").orderBy("vec_id"))
     held = checkpoint(rows.distinct().withColumn("hash", F.xxhash64("embedding")).withColumn("nth", nth).filter(F.col("nth") <= nearest + 1).select(F.col("vec_id").alias("id"), "embedding"))
-    queries = checkpoint(rows.filter(is_query).distinct())
+    queries = rows.filter(is_query).distinct()
     questions = checkpoint(queries.select("embedding").distinct().withColumn("id", F.monotonically_increasing_id()))
     placed, sent = indexed(held, questions, held.count(), nearest, parts)
     top = _blocks(placed, sent, nearest + 1)
