@@ -7,8 +7,9 @@ takes the term's place wherever it stands. The copies' features are those of the
 `PENALTY` times the mean squared change of the score's logit from a text to its copies, so a mention of a group moves
 the score as little as the labels allow. A text without identity terms has no copies and adds nothing.
 
-Fitting uses at most `SAMPLE_ROWS` rows of each class; the class shares come from all training labels. A quarter of
-these rows only fits the curve that calibrates the score. Scoring reads every word of every text.
+Fitting uses at most `SAMPLE_ROWS` rows of each class; the class shares come from all training labels. A curve fitted
+on a quarter of these rows, which the first fit leaves out, calibrates the score; the fit then goes on over all of them.
+Scoring reads every word of every text.
 
 Defined results: null, empty and wordless texts have no features and get the score of the intercept; with one class or
 none among the labels every score is the share of toxic labels (0 without labels); repeated rows are scored alike; an
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm._cluster import bounded_batches
 from tessera.llm._labelled import SAMPLE_ROWS, fold, logistic, sampled, sigmoid
 from tessera.llm._words import U, mix, words
+from tessera.plans.views import spread
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5)
@@ -37,7 +39,7 @@ RIDGE = 1e-4
 SHRINK = 10.0
 #: Features whose log-odds ratio is nearer to nothing than this are left out of the fit.
 LEAST = 0.2
-STEPS = 200
+STEPS, AGAIN_STEPS = 200, 60
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
 #: Terms that may stand for each other in a neutral mention, in the four languages of the documents. Fixed values.
@@ -140,10 +142,10 @@ class _Rows:
         return np.bincount(self.at, x, self.width)
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, swaps: list[np.ndarray], penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, swaps: list[np.ndarray], penalty: float = PENALTY, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
     """Weights by bucket and the intercept, by accelerated gradient steps over all rows.
 
-    swaps: for each counterfactual copy its signed buckets, see _signed().
+    swaps: for each counterfactual copy its signed buckets, see _signed(); start: what an earlier fit found.
     """
     x = _Rows(rows)
     swapped = _Rows([np.abs(c) - 1 for c in swaps], [np.sign(c).astype(float) for c in swaps]) if swaps else None
@@ -168,8 +170,11 @@ def train(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, swaps: list
     for _ in range(15):
         v = curved(v / max(1e-300, np.linalg.norm(v)))
         top = max(RIDGE, float(np.linalg.norm(v)))
-    u, ahead, b = np.zeros(len(columns)), np.zeros(len(columns)), float(np.log((g * y).sum() / (g * (1 - y)).sum()))
-    for step in range(STEPS):
+    u, b = np.zeros(len(columns)), float(np.log((g * y).sum() / (g * (1 - y)).sum()))
+    if start is not None:
+        u, b = start[0][columns] / ratio, start[1]
+    ahead = u
+    for step in range(STEPS if start is None else AGAIN_STEPS):
         z = x.dot(ratio * ahead) + b
         off = g * (sigmoid(z) - y)
         grad = ratio * x.back(off) + RIDGE * ahead
@@ -220,6 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD
     w, b = train([r for r, k in zip(found, part, strict=True) if not k], y[~part], weight[~part], [c for of, k in zip(swaps, part, strict=True) if not k for c in of], penalty)
     z = _Rows([r for r, k in zip(found, part, strict=True) if k]).dot(w) + b
     curve = tuple(float(c) for c in logistic(z, y[part], weight[part], ridge=0.1))
+    w, b = train(found, y, weight, [c for of in swaps for c in of], penalty, (w, b))
     return Model(w.astype(np.float32), b, curve, share)
 
 
@@ -243,6 +249,6 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     """The contract's columns over whole documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
