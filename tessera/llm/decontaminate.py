@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._cluster import BROADCAST_ROWS, checkpoint, salted_join, small
+from tessera.plans.views import spread
 
 WINDOW = 10
 SHINGLE = 3
@@ -182,7 +183,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     """The contract's columns over whole documents and benchmark."""
-    found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contamination(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import pieces
+from tessera.plans.views import spread
 
 SHINGLE = 3
 THRESHOLD = 0.8
@@ -180,7 +181,7 @@ def scanned(docs: DataFrame, licenses: tuple[License, ...] = LICENSES) -> DataFr
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:
     """One row per document: how many licenses it names or holds, and where, in words."""
-    found = scanned(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scanned(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     names = F.array(*[F.lit(x.name) for x in LICENSES])
     name = lambda s: F.get(names, s["order"])
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["stop"].cast("string"))), ",")

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from tessera.llm._cluster import bounded_batches, checkpoint, salted_join, sliced, small, table_of
 from tessera.llm._words import U, mix, shingles, words
 from tessera.llm.components import components
+from tessera.plans.views import spread
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -307,7 +308,7 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op2_near_join(spark, sf_dir: str) -> DataFrame:
     """One row per document: its class, the number of its links and its copies."""
-    return joined(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
+    return joined(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("text_key")
 
 
 OP2_SQL = r"""

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._cluster import checkpoint, salted_join, table_of
+from tessera.plans.views import spread
 
 #: Slots of one bitmap, as Spark's bitmap functions have them, and slots for each row.
 BITS, LOAD = 1 << 15, 2
@@ -225,7 +226,7 @@ def _text(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
     """The contract's columns over whole documents."""
-    found = scanned(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = scanned(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     count = lambda i: F.size(F.filter("spans", lambda s: s["order"] == i)).cast("long")
     base = F.filter("spans", lambda s: s["order"] < 3)
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_text(base, RULES), 256).alias("base_sha256"), _text(F.col("spans"), RULES).alias("spans"))
