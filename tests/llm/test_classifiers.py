@@ -165,12 +165,16 @@ def test_quality_scores_by_brute_force(tables):
     model = quality.fit(frame, labels)
     got = {r.doc_id: r.score for r in quality.scored(frame, model).collect()}
     for i, text in rows[:120]:
-        raw, sizes = text.encode(), [0, 0]
-        for k, d in enumerate(model.dictionaries):
-            for at in range(0, len(raw), 2048):
-                packed = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw[at : at + 2048])
-                sizes[k] += len(packed)
-        z = model.curve[0] * (sizes[0] - sizes[1]) / (sizes[0] + sizes[1] + 64) + model.curve[1]
+        raw, said = text.encode(), []
+        for pair in model.dictionaries:
+            sizes = [0, 0]
+            for k, d in enumerate(pair):
+                for at in range(0, len(raw), 2048):
+                    packed = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw[at : at + 2048])
+                    sizes[k] += len(packed)
+            said.append((sizes[0] - sizes[1]) / (sizes[0] + sizes[1] + 64))
+        assert len(said) == quality.PAIRS
+        z = model.curve[0] * sum(said) / len(said) + model.curve[1]
         assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
 
 
