@@ -30,13 +30,14 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tessera.llm._cluster import bounded_batches, checkpoint, salted_join, sliced, small
 from tessera.operators.ordered import running
+from tessera.plans.views import spread
 
 WEIGHTS = (5, 2, 1)
 COPIES = 3
@@ -166,12 +167,10 @@ def _draws(target: float, size: int, block: int) -> tuple[int, ...]:
     return passes, full, blocks, cut, extra, passes * blocks + cut + (extra > 0)
 
 
-def plan(totals: DataFrame, shards: int = SHARDS, block: int = BLOCK_WORDS, seed: int = SEED) -> tuple[DataFrame, int]:
-    """One row per source, its target and how it is drawn; and how many. totals: source (each once), source_size."""
-    spark: SparkSession = totals.sparkSession
-    n = totals.count()
+def plan(totals: DataFrame, n: int, shards: int = SHARDS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """One row per source, its target and how it is drawn. totals: source (each once), source_size; n: how many."""
     kind = totals.schema["source"].dataType.simpleString()
-    grouped = checkpoint(targeted(checkpoint(ranked(totals, n))).withColumn("group", F.floor(F.col("rank") / GROUP_SOURCES)))
+    grouped = targeted(checkpoint(ranked(totals, n))).withColumn("group", F.floor(F.col("rank") / GROUP_SOURCES))
     size, part = F.col("source_size"), F.floor("target") % F.greatest(F.col("source_size"), F.lit(1))
     draws = F.when(size > 0, F.floor(F.floor("target") / size) * F.ceil(size / block) + F.ceil(part / block)).otherwise(0)
     sums = sorted((r[0], int(r[1])) for r in grouped.groupBy("group").agg(F.sum(draws.cast("decimal(38,0)"))).collect())  # a number for each GROUP_SOURCES sources
@@ -193,7 +192,7 @@ def plan(totals: DataFrame, shards: int = SHARDS, block: int = BLOCK_WORDS, seed
         return out
 
     schema = f"source {kind}, source_size long, target double, _sid long, _passes long, _full long, _blocks long, _cut long, _extra long, _step long, _begin long, _ends array<long>"
-    return checkpoint(grouped.groupBy("group").applyInPandas(planned, schema)), n
+    return checkpoint(grouped.groupBy("group").applyInPandas(planned, schema))
 
 
 def _line(docs: DataFrame, keep: list[Column]) -> DataFrame:
@@ -207,9 +206,9 @@ def _drawn(rows: DataFrame, narrow: DataFrame, shards: int, block: int, seed: in
     The rows are shuffled once, by source and bin, and numbered inside their bin; a bin of a source holds about
     `LINE_ROWS` rows whatever the source's size.
     """
-    n_rows = narrow.count()
-    totals = checkpoint(narrow.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")))
-    by, n_sources = plan(totals, shards, block, seed)
+    totals = checkpoint(narrow.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.count("*").alias("rows")))
+    n_rows, n_sources = (int(x or 0) for x in totals.agg(F.sum("rows"), F.count("*")).first())
+    by = plan(totals.drop("rows"), n_sources, shards, block, seed)
     bins = max(1, -(-n_rows // LINE_ROWS))
     marked = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("n"))
     by = by.select(marked("source").alias("_mark"), *[c for c in by.columns if c != "source"])
@@ -222,7 +221,7 @@ def _drawn(rows: DataFrame, narrow: DataFrame, shards: int, block: int, seed: in
     sums = checkpoint(binned(narrow).groupBy("_sid", "_bin").agg(F.sum("_size").alias("_n")))
     offsets = running(sums, ["_sid"], "_bin", "_n", "_before").drop("_n")
     within = F.coalesce(F.sum("_size").over(W.partitionBy("_sid", "_bin").orderBy("_key", "_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = binned(rows).withColumn("_within", within).join(small(offsets, sums.count()), ["_sid", "_bin"]).withColumn("_at", F.col("_before") + F.col("_within"))
+    rows = binned(rows).withColumn("_within", within).join(small(offsets, n_sources * bins), ["_sid", "_bin"]).withColumn("_at", F.col("_before") + F.col("_within"))
     wide = lambda c: c.cast("decimal(38,0)")  # noqa: E731  the product may be beyond 64 bits
     rank = lambda b: F.when(b < F.col("_full"), F.pmod(wide(b) * wide(F.col("_step")) + wide(F.col("_begin")), wide(F.greatest(F.col("_full"), F.lit(1)))).cast("long")).otherwise(F.col("_full"))
     begin = lambda b: F.greatest(b * block - F.col("_at"), F.lit(0))
@@ -321,5 +320,5 @@ def _dealt(draws: Column) -> Column:
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     """The contract's columns over whole documents, and where each draw of a document stands in the mix."""
-    found = mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = mixture(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select("doc_id", "size", "source_size", "target", _taken(F.col("draws")).alias("taken"), _dealt(F.col("draws")).alias("dealt"))

@@ -102,7 +102,7 @@ def test_shards_hold_their_leaves(spark):
         for r in M.mixture(frame, shards=4, block=32, seed=seed).collect():
             for d in r.draws:
                 held[seed][d.shard, source[r.doc_id]].add(d.place)
-        by, _ = M.plan(frame.groupBy("source").agg(F.sum(M.words(F.col("text"))).alias("source_size")), 4, 32, seed)
+        by = M.plan(frame.groupBy("source").agg(F.sum(M.words(F.col("text"))).alias("source_size")), 3, 4, 32, seed)
         for line in by.collect():
             leaves = np.diff([0, *line._ends])
             assert [len(held[seed][k, line.source]) for k in range(4)] == list(leaves)
