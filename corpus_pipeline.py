@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, mixing, near_join, quality, sharding
 from tessera.llm._cluster import drop_dir, fresh_dir
+from tessera.plans.views import spread
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts."""
+    docs = spread(docs)
     return quality.accepted(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
