@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._cluster import bounded_batches, checkpoint, salted_join, small, table_of
+from tessera.llm._cluster import bounded_batches, checkpoint, salted_join, small
 
 SAMPLE_ROWS = 8192
 SAMPLE_QUERIES = 512
@@ -295,11 +295,11 @@ def _sent(enough: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return send
 
 
-def _dealt(rows: DataFrame, counts: DataFrame, models: DataFrame, tell: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
-    """Applies the network of each part to its rows, some at a time. counts: part, n."""
-    slices = F.ceil(F.col("n") / SLICE_ROWS)
-    mine = rows.join(counts, "part").withColumn("slice", F.pmod(F.xxhash64("id", F.lit("slice")), slices)).drop("n")
-    copies = models.join(counts, "part").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).drop("n")
+def _dealt(rows: DataFrame, models: DataFrame, tell: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    """Applies the network of each part to its rows, some at a time. Both have n, the part's rows."""
+    slices = F.greatest(F.ceil(F.col("n") / SLICE_ROWS), F.lit(1))
+    mine = rows.withColumn("slice", F.pmod(F.xxhash64("id", F.lit("slice")), slices)).drop("n")
+    copies = models.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))).drop("n")
     return mine.groupBy("part", "slice").cogroup(copies.groupBy("part", "slice")).applyInArrow(tell, "id long, embedding array<double>, part long")
 
 
@@ -315,25 +315,29 @@ def indexed(rows: DataFrame, asks: DataFrame, total: int, nearest: int = NEAREST
     target = TARGET ** (1 / levels)
     placed, sent = (df.withColumn("part", F.lit(0).cast("long")) for df in (rows, asks))
     for level in range(levels + 1 if total > 1 else 0):  # one more for parts that turn out larger
-        if not level:
-            few = F.broadcast(table_of(rows.sparkSession, [{"part": 0, "n": total}], "part long, n long"))
+        if not level:  # all rows are one part
+            n_asks = asks.count()
+            of_rows, of_asks = (lambda df: df.withColumn("n", F.lit(total))), (lambda df: df.withColumn("n", F.lit(n_asks)))
         elif total <= SPLIT_ROWS:
             break
         else:
-            counts = checkpoint(placed.filter(F.col("part") >= (FAN + 1) ** (level - 1)).groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT_ROWS))
-            several = counts.count()
+            large = checkpoint(placed.filter(F.col("part") >= (FAN + 1) ** (level - 1)).groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT_ROWS))
+            several = large.count()
             if not several:
                 break
-            few = small(counts, several)
-        chosen = placed.join(few, "part").filter(F.pmod(F.xxhash64("id", F.lit(level)), "n") < SAMPLE_ROWS + SAMPLE_QUERIES)
+            large = small(large, several)
+            large_asks = _counted(sent.join(large.select("part"), "part", "left_semi"))
+            of_rows, of_asks = (lambda df, n=large: df.join(n, "part")), (lambda df, n=large_asks: df.join(n, "part"))
+        chosen = of_rows(placed).filter(F.pmod(F.xxhash64("id", F.lit(level)), "n") < SAMPLE_ROWS + SAMPLE_QUERIES)
         models = checkpoint(chosen.withColumn("nth", F.xxhash64("embedding")).groupBy("part").applyInArrow(_trained(nearest, target, parts), "part long, model binary"))
-        fresh = checkpoint(_dealt(placed, few, models, _placed))
+        fresh = checkpoint(_dealt(of_rows(placed), of_rows(models), _placed))
         # an id in several parts counts in the first only, so that the parts sent to surely hold so many
         by_id = fresh.groupBy("id").agg(F.min("part").alias("part")).groupBy("part").agg(F.count("*").alias("ids"))
         sizes = by_id.groupBy(F.floor((F.col("part") - 1) / (FAN + 1)).alias("above")).agg(F.collect_list(F.struct("part", "ids")).alias("sizes")).withColumnRenamed("above", "part")  # at most FAN
-        asking = sent.join(few.select("part"), "part", "left_semi")
-        on = checkpoint(_dealt(asking, _counted(asking), models.join(sizes, "part"), _sent(nearest + 1)))
-        placed, sent = (old.join(few.select("part"), "part", "left_anti").select("id", "embedding", "part").unionByName(new) for old, new in ((placed, fresh), (sent, on)))
+        on = checkpoint(_dealt(of_asks(sent), of_asks(models.join(sizes, "part")), _sent(nearest + 1)))
+        if level:
+            fresh, on = (old.join(large.select("part"), "part", "left_anti").select("id", "embedding", "part").unionByName(new) for old, new in ((placed, fresh), (sent, on)))
+        placed, sent = fresh, on
     return placed, sent
 
 
